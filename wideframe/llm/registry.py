@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import op2_byte_bpe
 from .decontam import op7_decontaminate
+from .tokenio import op9_token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_byte_bpe": op2_byte_bpe,
         "op7_decontaminate": op7_decontaminate,
+        "op9_token_files": op9_token_files,
     }
 
 
