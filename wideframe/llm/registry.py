@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op2_byte_bpe
+from .dartminhash import op6_near_duplicates
 from .decontam import op7_decontaminate
+from .langid import op4_language_id
 from .tokenio import op9_token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_byte_bpe": op2_byte_bpe,
+        "op4_language_id": op4_language_id,
+        "op6_near_duplicates": op6_near_duplicates,
         "op7_decontaminate": op7_decontaminate,
         "op9_token_files": op9_token_files,
     }
