@@ -14,12 +14,12 @@ documents in ascending ``doc_id`` order::
 and beside it ``<path>.ranks``, rows (rank, id): rank 0 is the most frequent id.
 A reader turns control bytes into lengths and byte positions with a numpy table.
 
-Plan: documents are encoded twice, once to count ids (map-side summed, so at
-most one row per id and task is shuffled) and once to write them, which is
-cheaper than storing raw ids.  Documents are dealt into ranges of ``doc_id``
-that are sorted within, and each range's first position is known from the count,
-so no task sees more than its own range.  What reaches the driver is bounded by
-the vocabulary and the number of ranges.
+Plan: documents are encoded once, into groups in the order of the scan that are
+coded by their own ranks and carry their counts of ids.  From the counts come
+the corpus's ranks and the number of ids in each range of ``doc_id``.  The groups
+are then recoded and dealt into the ranges, which are sorted within; each
+range's first position is known, so no task sees more than its own range.  What
+reaches the driver is bounded by the vocabulary and the number of ranges.
 
 Encoding cuts text at spaces and line feeds and between an ASCII letter and a
 full stop or comma, which the tokenizer's own normaliser and splitter never
@@ -27,7 +27,7 @@ join over, and keeps the ids of pieces in two bounded generations; only new
 pieces go through the library.
 
 Edge cases: a null text is empty and gives the end id alone; documents with a
-null id come first; equal ids are ordered by their ids' crc32 and bytes; an
+null id come first; equal ids are ordered by length, then by coded bytes; an
 empty table writes a folder without blocks.  Other columns are not read.
 """
 
@@ -128,62 +128,60 @@ def _encoder(definition: str, end_id: int) -> PieceEncoder:
     return _encoders[key]
 
 
-def _counter(shared, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Counts of ids (kind 0) and of each range's ids (kind 1) in a task."""
+def _encode_blocks(shared, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Groups of documents in the order of the scan, each coded by its own ranks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared.value, end_id)
-        ids = np.zeros(0, np.int64)
-        ranges: dict[int, int] = {}
         for whole in batches:
             for batch in row_groups(whole, 0, GROUP_BYTES):
                 made = encoder.encode(batch.column(0).to_pylist())
-                got = np.bincount(np.frombuffer(b"".join(made), "<u4"))
-                if len(got) > len(ids):
-                    ids, got = got, ids
-                ids[: len(got)] += got
-                for r, m in zip(batch.column(1).to_pylist(), made, strict=True):
-                    ranges[r] = ranges.get(r, 0) + len(m) // 4
-        used = np.flatnonzero(ids)
-        if len(used) or ranges:
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.repeat([0, 1], [len(used), len(ranges)]), pa.int32()),
-                    pa.array(np.concatenate([used, np.array(list(ranges), np.int64)]), pa.int64()),
-                    pa.array(np.concatenate([ids[used], np.array(list(ranges.values()), np.int64)]), pa.int64()),
-                ],
-                names=["kind", "key", "n"],
-            )
+                ids = np.frombuffer(b"".join(made), "<u4")
+                counts = np.bincount(ids)
+                used = np.argsort(-counts, kind="stable")[: np.count_nonzero(counts)]
+                to_rank = np.zeros(len(counts), np.uint32)
+                to_rank[used] = np.arange(len(used))
+                control, data = encode_ranks(to_rank[ids])
+                one = np.array([batch.num_rows])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        list_array(batch.column(2), one),
+                        list_array(batch.column(1), one),
+                        list_array(pa.array([len(m) // 4 for m in made], pa.int64()), one),
+                        list_array(pa.array(used.astype(np.int32), pa.int32()), np.array([len(used)])),
+                        list_array(pa.array(counts[used], pa.int64()), np.array([len(used)])),
+                        pa.array([control], pa.binary()),
+                        pa.array([data], pa.binary()),
+                    ],
+                    names=["doc_ids", "shards", "lengths", "ids", "counts", "control", "data"],
+                )
 
     return run
 
 
-def _coder(shared, end_id: int, to_rank) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(doc_id, range, n, crc, control, data) of each document."""
+_RAW = "doc_ids array<bigint>, shards array<int>, lengths array<bigint>, ids array<int>, counts array<bigint>, control binary, data binary"
+
+
+def _recode(to_rank) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(doc_id, shard, n, control, data) of each document of such groups, by the corpus's ranks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, ranks = _encoder(shared.value, end_id), to_rank.value
-        for whole in batches:
-            for batch in row_groups(whole, 0, GROUP_BYTES):
-                made = encoder.encode(batch.column(0).to_pylist())
-                coded = [encode_ranks(ranks[np.frombuffer(m, "<u4")]) for m in made]
+        table = to_rank.value
+        for batch in batches:
+            for docs, shards, lengths, ids, control, data in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                n = np.array(lengths, np.int64)
+                ranks = table[np.array(ids)][decode_ranks(control, data, int(n.sum()))]
+                coded = [encode_ranks(r) for r in np.split(ranks, np.cumsum(n)[:-1])]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(2),
-                        batch.column(1),
-                        pa.array([len(m) // 4 for m in made], pa.int64()),
-                        pa.array([zlib.crc32(m) for m in made], pa.int64()),
-                        pa.array([c for c, _ in coded], pa.binary()),
-                        pa.array([d for _, d in coded], pa.binary()),
-                    ],
-                    names=["doc_id", "shard", "n", "crc", "control", "data"],
+                    [pa.array(docs, pa.int64()), pa.array(shards, pa.int32()), pa.array(n, pa.int64()), pa.array([c for c, _ in coded], pa.binary()), pa.array([d for _, d in coded], pa.binary())],
+                    names=["doc_id", "shard", "n", "control", "data"],
                 )
 
     return run
 
 
 def _packer(first: dict[int, int], limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Sorted documents of a range, packed into blocks."""
+    """Sorted documents (doc_id, shard, n, control, data) packed into blocks."""
 
     def pack(shard: int, block: int, start: int, docs: list) -> pa.RecordBatch:
         ranks = np.concatenate([decode_ranks(c, d, n) for _, n, c, d in docs])
@@ -204,7 +202,7 @@ def _packer(first: dict[int, int], limit: int) -> Callable[[Iterator[pa.RecordBa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, block, start, held, docs = None, 0, 0, 0, []
         for batch in batches:
-            for doc, own, n, control, data in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 4, 5)), strict=True):
+            for doc, own, n, control, data in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if docs and (own != shard or held >= limit):
                     yield pack(shard, block, start, docs)
                     block, start, held, docs = block + 1, start + held, 0, []
@@ -230,17 +228,20 @@ def write_token_files(docs: DataFrame, path: str, text: str = "text", doc_id: st
     own = docs.select(F.col(text).alias("text"), F.col(doc_id).cast("long").alias("doc_id"))
     _, number = key_ranges(own, "doc_id", 4 * parts)
     own = own.select("text", number.cast("int").alias("shard"), "doc_id")
-    counts = own.mapInArrow(_counter(shared, end_id), "kind int, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n")).collect()
-    by_count = sorted((r for r in counts if r["kind"] == 0), key=lambda r: (-r["n"], r["key"]))
-    ids = np.array([r["key"] for r in by_count], np.int64)
+    encoded = fresh_path(spark, "encoded")
+    own.mapInArrow(_encode_blocks(shared, end_id), _RAW).write.parquet(encoded)
+    raw = spark.read.schema(_RAW).parquet(encoded)
+    counts = raw.select(F.explode(F.arrays_zip("ids", "counts")).alias("x")).groupBy("x.ids").agg(F.sum("x.counts").alias("n")).collect()
+    ids = np.array([r["ids"] for r in sorted(counts, key=lambda r: (-r["n"], r["ids"]))], np.int64)
     to_rank = np.zeros(int(ids.max(initial=0)) + 1, np.uint32)
     to_rank[ids] = np.arange(len(ids))
+    totals = raw.select(F.explode(F.arrays_zip("shards", "lengths")).alias("x")).groupBy("x.shards").agg(F.sum("x.lengths").alias("n")).collect()
     first, total = {}, 0
-    for r in sorted((r for r in counts if r["kind"] == 1), key=lambda r: r["key"]):
-        first[r["key"]] = total
+    for r in sorted(totals, key=lambda r: r["shards"]):
+        first[r["shards"]] = total
         total += r["n"]
-    coded = own.mapInArrow(_coder(shared, end_id, spark.sparkContext.broadcast(to_rank)), "doc_id bigint, shard int, n bigint, crc bigint, control binary, data binary")
-    ordered = coded.repartition(parts, "shard").sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "crc", "control", "data")
+    coded = raw.select("doc_ids", "shards", "lengths", "ids", "control", "data").mapInArrow(_recode(spark.sparkContext.broadcast(to_rank)), "doc_id bigint, shard int, n bigint, control binary, data binary")
+    ordered = coded.repartition(parts, "shard").sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "n", "control", "data")
     ordered.mapInArrow(_packer(first, block_ids), _BLOCKS).write.parquet(path)
     spark.createDataFrame([(i, int(k)) for i, k in enumerate(ids)], "rank int, id int").coalesce(1).write.parquet(f"{path}.ranks")
     return path
