@@ -19,7 +19,7 @@ so text is shuffled once and sorted within its range.
 
 Edge cases: a null text is empty; an empty text has the fingerprint of no terms.
 A document with fewer than ``LEAST_TERMS`` lexicon terms uses all its terms.  Of equal
-ids the order is by text.  A document with a null id, or a table's only one, has no next
+ids the order is by text.  A table's only document is its own next one.  A document with a null id has no next
 document: nothing replaces what is cut, and near_next is 0.  Only the named columns are read.
 """
 
@@ -43,13 +43,13 @@ IDF_BAND = (1.5, 30.0)
 LEAST_DOCUMENTS = 2
 #: Chances of a term to be in a subset, one for each scale, and subsets of each.
 KEEP = (1 / 4, 1 / 16, 1 / 64, 1 / 256, 1 / 1024)
-SLOTS = 24
+SLOTS = 48
 SCALES = len(KEEP)
-LEAST_SLOTS = 10
+LEAST_SLOTS = 24
 LEAST_TERMS = 8
 GROUP_BYTES = 4 << 20
 
-_SLOT_SEEDS = mix64(np.arange(1, SCALES * SLOTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_SLOT_SEEDS = mix64(np.arange(1, SCALES * SLOTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
 def terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -89,7 +89,7 @@ def lexicon(docs: DataFrame, text: str = "text") -> np.ndarray:
     low, high = (total / np.exp(x) for x in reversed(IDF_BAND))
     chosen = counts.where((F.col("n") >= max(low, LEAST_DOCUMENTS)) & (F.col("n") <= high))
     # packed by the executors into BUCKETS / 64 words at most
-    word = chosen.groupBy(F.floor(F.col("bucket") / 64).alias("w")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("bigint"), (F.col("bucket") % 64).cast("int"))).alias("bits"))
+    word = chosen.groupBy(F.floor(F.col("bucket") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(bucket % 64))")).alias("bits"))
     out = np.zeros(BUCKETS // 64, np.int64)
     for r in word.toLocalIterator():
         out[r["w"]] = r["bits"]
@@ -97,7 +97,7 @@ def lexicon(docs: DataFrame, text: str = "text") -> np.ndarray:
 
 
 def fingerprints(column: pa.Array, bits: np.ndarray) -> np.ndarray:
-    """One row for each text: the hash of all its lexicon terms, then 16-bit hashes of the subsets (0: empty)."""
+    """One row for each text: the hash of all its lexicon terms, then 8-bit hashes of the subsets (0: empty)."""
     h, bounds = terms(column)
     n = len(bounds) - 1
     out = np.zeros((n, 1 + SCALES * SLOTS), np.uint64)
@@ -122,12 +122,11 @@ def fingerprints(column: pa.Array, bits: np.ndarray) -> np.ndarray:
     for s in range(SCALES):
         for k in range(SLOTS):
             slot = s * SLOTS + k
-            drawn = mix64(h ^ _SLOT_SEEDS[slot])
-            pick = np.flatnonzero(drawn < np.uint64(int(KEEP[s] * 2.0**64)))
+            pick = np.flatnonzero(h * _SLOT_SEEDS[slot] < np.uint64(int(KEEP[s] * 2.0**64)))
             if len(pick):
                 out[:, 1 + slot] = hashed(h[pick], doc[pick])
                 own = np.unique(doc[pick])
-                out[own, 1 + slot] = out[own, 1 + slot] % np.uint64(0xFFFF) + np.uint64(1)
+                out[own, 1 + slot] = out[own, 1 + slot] % np.uint64(0xFF) + np.uint64(1)
     return out
 
 
@@ -145,9 +144,9 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def as_text(table: np.ndarray) -> list[str]:
-    """Fingerprints as strings: 16 hexadecimal digits of the whole, 4 of each subset."""
+    """Fingerprints as strings: 16 hexadecimal digits of the whole, 2 of each subset."""
     head = table[:, 0].astype(">u8")
-    rest = table[:, 1:].astype(">u2")
+    rest = table[:, 1:].astype(np.uint8)
     return [h.tobytes().hex() + r.tobytes().hex() for h, r in zip(head, rest, strict=True)]
 
 
@@ -159,9 +158,14 @@ def _pairs(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
         for _, own, following in rows:
             cut = len(own) // 3
             edited.append(own[: len(own) - cut] + (following or "")[:cut])
-        mine = fingerprints(pa.array([r[1] for r in rows], pa.string()), bits)
+        # the next text of a row is the text of the row after it, but for the last row of a range
+        far = [i for i, r in enumerate(rows) if r[2] is not None and (i + 1 == len(rows) or rows[i + 1][1] != r[2])]
+        made = fingerprints(pa.array([r[1] for r in rows] + [rows[i][2] for i in far], pa.string()), bits)
+        mine = made[: len(rows)]
+        at = np.minimum(np.arange(len(rows)) + 1, len(rows) - 1)
+        at[far] = len(rows) + np.arange(len(far))
+        after = made[at]
         other = fingerprints(pa.array(edited, pa.string()), bits)
-        after = fingerprints(pa.array([r[2] or "" for r in rows], pa.string()), bits)
         next_like = np.where([r[2] is None for r in rows], 0.0, likeness(mine, after))
         return pa.RecordBatch.from_arrays(
             [
