@@ -36,6 +36,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -55,7 +56,7 @@ BLOCK_IDS = 1 << 18
 #: Pieces whose ids a worker remembers.
 CACHE_PIECES = 3 << 17
 #: Text bytes a worker encodes at once.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 4 << 20
 
 #: Between a letter and a full stop or comma, which the tokenizer always parts.
 _MARK = re.compile(r"(?<=[A-Za-z])(?=[.,])")
@@ -63,16 +64,20 @@ _LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.i
 _MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 
 
+def _control(sizes: np.ndarray) -> bytes:
+    """Control bytes of values of 1 to 4 bytes."""
+    codes = np.zeros(-(-len(sizes) // 4) * 4, np.uint8)
+    codes[: len(sizes)] = sizes - 1
+    quads = codes.reshape(-1, 4)
+    return (quads[:, 0] | (quads[:, 1] << 2) | (quads[:, 2] << 4) | (quads[:, 3] << 6)).tobytes()
+
+
 def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and data bytes of unsigned 32-bit ranks."""
     ranks = np.ascontiguousarray(ranks, "<u4")
     size = 1 + (ranks > 0xFF).astype(np.int64) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
-    codes = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
-    codes[: len(ranks)] = size - 1
-    quads = codes.reshape(-1, 4)
-    control = quads[:, 0] | (quads[:, 1] << 2) | (quads[:, 2] << 4) | (quads[:, 3] << 6)
     data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]]
-    return control.astype(np.uint8).tobytes(), data.tobytes()
+    return _control(size), data.tobytes()
 
 
 def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
@@ -112,7 +117,7 @@ class PieceEncoder:
             else:
                 self.cache[piece] = ids
         for piece, made in zip(pieces, self.library.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
-            self.cache[piece] = np.array(made.ids, "<u4").tobytes()
+            self.cache[piece] = array("I", made.ids).tobytes()
         get = self.cache.__getitem__
         return [b"".join(map(get, p)) + self.end for p in split]
 
@@ -184,8 +189,9 @@ def _packer(first: dict[int, int], limit: int) -> Callable[[Iterator[pa.RecordBa
     """Sorted documents (doc_id, shard, n, control, data) packed into blocks."""
 
     def pack(shard: int, block: int, start: int, docs: list) -> pa.RecordBatch:
-        ranks = np.concatenate([decode_ranks(c, d, n) for _, n, c, d in docs])
-        control, data = encode_ranks(ranks)
+        # data bytes join as they are; control bytes start anew at each document's first id
+        sizes = np.concatenate([_LENGTHS[np.frombuffer(c, np.uint8)].ravel()[:n] for _, n, c, _ in docs])
+        control, data = _control(sizes), b"".join(d for _, _, _, d in docs)
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([shard], pa.int32()),
