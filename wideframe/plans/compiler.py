@@ -58,6 +58,8 @@ def newest(cells: DataFrame, limit: SparkColumn | int, by: list[str] | None = No
         return cells
     if isinstance(limit, int) and limit == 1:
         rest = [c for c in cells.columns if c not in (*by, "version", "seq")]
+        if len(rest) == 1 and "seq" not in cells.columns:  # plain values keep the hash aggregation
+            return cells.groupBy(*by).agg(F.max("version").alias("version"), F.max_by(rest[0], "version").alias(rest[0])).select(*cells.columns)
         last = F.struct("version", "seq") if "seq" in cells.columns else F.col("version")
         made = [F.max_by(F.struct(*rest), last).alias("_r"), F.max(last).alias("_v")]
         one = cells.groupBy(*by).agg(*made)

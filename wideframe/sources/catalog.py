@@ -68,17 +68,17 @@ class Instance:
     # instance ----------------------------------------------------------------------
 
     def install(self) -> Instance:
-        if self._exists("_system.json"):
+        if self._exists("system.json"):
             raise CatalogError(f"{self.path} is already installed")
-        self._write("_system.json", {"data-version": "1", "security-version": "0"})
-        self._write("_schemas.json", [schemas.canonical(p) for p in schemas.PRIMITIVES])
+        self._write("system.json", {"data-version": "1", "security-version": "0"})
+        self._write("schemas.json", [schemas.canonical(p) for p in schemas.PRIMITIVES])
         return self
 
     def uninstall(self) -> None:
         self._delete("")
 
     def _open(self) -> None:
-        if not self._exists("_system.json"):
+        if not self._exists("system.json"):
             raise CatalogError(f"{self.path} is not installed")
 
     # tables ------------------------------------------------------------------------
@@ -135,14 +135,14 @@ class Instance:
     def schema_id(self, schema: Any) -> int:
         """Number of a schema, given to it now if it is new; primitives are 0 to 7."""
         self._open()
-        known, text = self._read("_schemas.json"), schemas.canonical(schema)
+        known, text = self._read("schemas.json"), schemas.canonical(schema)
         if text not in known:
             known.append(text)
-            self._write("_schemas.json", known)
+            self._write("schemas.json", known)
         return known.index(text)
 
     def schema(self, number: int) -> Any:
-        known = self._read("_schemas.json")
+        known = self._read("schemas.json")
         if not 0 <= number < len(known):
             raise CatalogError(f"no schema {number}")
         return json.loads(known[number])
@@ -152,50 +152,50 @@ class Instance:
         return hashlib.md5(schemas.canonical(schema).encode()).digest()
 
     def schema_by_hash(self, digest: bytes) -> Any:
-        return next((json.loads(s) for s in self._read("_schemas.json") if hashlib.md5(s.encode()).digest() == digest), None)
+        return next((json.loads(s) for s in self._read("schemas.json") if hashlib.md5(s.encode()).digest() == digest), None)
 
     def schema_table(self) -> DataFrame:
         """(schema_id, schema): a dimension to join to cells by their writer's schema."""
-        return self.spark.createDataFrame(list(enumerate(self._read("_schemas.json"))), "schema_id bigint, schema string")
+        return self.spark.createDataFrame(list(enumerate(self._read("schemas.json"))), "schema_id bigint, schema string")
 
     # system values, key-values, notes ------------------------------------------------
 
     def system(self) -> dict[str, str]:
         self._open()
-        return self._read("_system.json")
+        return self._read("system.json")
 
     def set_system(self, key: str, value: str) -> None:
-        self._write("_system.json", self.system() | {key: value})
+        self._write("system.json", self.system() | {key: value})
 
     def put_value(self, table: str, key: str, value: str, version: int) -> None:
         self.layout(table)
-        all_values = self._read(f"tables/{table}/_values.json") or {}
+        all_values = self._read(f"tables/{table}/values.json") or {}
         all_values.setdefault(key, {})[str(version)] = value
-        self._write(f"tables/{table}/_values.json", all_values)
+        self._write(f"tables/{table}/values.json", all_values)
 
     def values(self, table: str, key: str, versions: int = 1) -> list[tuple[int, str]]:
         """The newest values of a key, newest first."""
         if versions < 1:
             raise ValueError("at least one version")
-        found = (self._read(f"tables/{table}/_values.json") or {}).get(key, {})
+        found = (self._read(f"tables/{table}/values.json") or {}).get(key, {})
         return sorted(((int(v), x) for v, x in found.items()), reverse=True)[:versions]
 
     def remove_values(self, table: str, key: str) -> None:
-        kept = self._read(f"tables/{table}/_values.json") or {}
+        kept = self._read(f"tables/{table}/values.json") or {}
         kept.pop(key, None)
-        self._write(f"tables/{table}/_values.json", kept)
+        self._write(f"tables/{table}/values.json", kept)
 
     def keys(self, table: str) -> list[str]:
-        return sorted(self._read(f"tables/{table}/_values.json") or {})
+        return sorted(self._read(f"tables/{table}/values.json") or {})
 
     def annotate(self, table: str, key: str, value: str, column: str = "") -> None:
         """Sets a note on a table, or on one of its families or columns."""
         if not re.fullmatch(r"[a-zA-Z_][a-zA-Z0-9_]*", key):
             raise ValueError(f"bad note key {key!r}")
         self._known(table, column)
-        notes = self._read(f"tables/{table}/_notes.json") or {}
+        notes = self._read(f"tables/{table}/notes.json") or {}
         notes.setdefault(column, {})[key] = value
-        self._write(f"tables/{table}/_notes.json", notes)
+        self._write(f"tables/{table}/notes.json", notes)
 
     def _known(self, table: str, column: str) -> None:
         layout = self.layout(table)
@@ -208,7 +208,7 @@ class Instance:
     def notes(self, table: str, column: str | None = None, exact: str | None = None, prefix: str | None = None, contains: str | None = None, pattern: str | None = None) -> dict[tuple[str, str], str]:
         """{(column, key): note} of a table (column ``""``) or of one column, by a test of the key."""
         out = {}
-        for own, notes in (self._read(f"tables/{table}/_notes.json") or {}).items():
+        for own, notes in (self._read(f"tables/{table}/notes.json") or {}).items():
             for key, value in notes.items():
                 fits = (exact is None or key == exact) and (prefix is None or key.startswith(prefix)) and (contains is None or contains in key) and (pattern is None or re.search(pattern, key))
                 if fits and (column is None or own == column):
@@ -217,30 +217,30 @@ class Instance:
 
     def remove_notes(self, table: str, column: str | None = None, **tests: Any) -> None:
         gone = self.notes(table, column, **tests)
-        notes = self._read(f"tables/{table}/_notes.json") or {}
+        notes = self._read(f"tables/{table}/notes.json") or {}
         for own, key in gone:
             del notes[own][key]
-        self._write(f"tables/{table}/_notes.json", notes)
+        self._write(f"tables/{table}/notes.json", notes)
 
     # backup ------------------------------------------------------------------------
 
     def export_metadata(self, path: str) -> None:
         """Writes layouts, schemas, system values and notes as one row of JSON."""
-        out = {"system": self.system(), "schemas": self._read("_schemas.json"), "tables": {}}
+        out = {"system": self.system(), "schemas": self._read("schemas.json"), "tables": {}}
         for t in self.tables():
-            out["tables"][t] = {"layouts": [json.loads(x.to_json()) for x in self.layouts(t)], "notes": self._read(f"tables/{t}/_notes.json") or {}, "values": self._read(f"tables/{t}/_values.json") or {}}
+            out["tables"][t] = {"layouts": [json.loads(x.to_json()) for x in self.layouts(t)], "notes": self._read(f"tables/{t}/notes.json") or {}, "values": self._read(f"tables/{t}/values.json") or {}}
         self.spark.createDataFrame([(json.dumps(out),)], "metadata string").coalesce(1).write.mode("overwrite").json(path)
 
     def restore_metadata(self, path: str, tables_only: bool = False) -> None:
         saved = json.loads(self.spark.read.schema("metadata string").json(path).first()["metadata"])
         if not tables_only:
-            self._write("_system.json", saved["system"])
-            self._write("_schemas.json", saved["schemas"])
+            self._write("system.json", saved["system"])
+            self._write("schemas.json", saved["schemas"])
         for t, kept in saved["tables"].items():
             for i, layout in enumerate(kept["layouts"]):
                 self._write(f"tables/{t}/layouts/{i:06d}.json", layout)
-            self._write(f"tables/{t}/_notes.json", kept["notes"])
-            self._write(f"tables/{t}/_values.json", kept["values"])
+            self._write(f"tables/{t}/notes.json", kept["notes"])
+            self._write(f"tables/{t}/values.json", kept["values"])
 
 
 def parse_uri(uri: str) -> dict[str, Any]:
@@ -263,7 +263,7 @@ def local_instance(spark: SparkSession, folder: str, fresh: bool = False) -> Ins
     if fresh:
         shutil.rmtree(folder, ignore_errors=True)
     made = Instance(spark, f"file://{folder}")
-    return made if made._exists("_system.json") else made.install()
+    return made if made._exists("system.json") else made.install()
 
 
 def newest_schema(cells: DataFrame, registry: DataFrame) -> DataFrame:
