@@ -10,8 +10,8 @@ prediction is the largest proportion of that set, and the score its proportion
 times the probability of its best single-language reading.
 
 Training: whole texts of at most ``SAMPLE_PER_LANGUAGE`` labelled documents of
-each language, those with the smallest hashes of their ids.  The id ranking is
-cut to that bound in every task before it is shuffled, and the model has a fixed
+each language, those with the smallest hashes of their ids.  The ranking of ids is
+cut to that bound in every task before it is shuffled, and in salted parts, and the model has a fixed
 size (``FEATURES`` x languages), so what is broadcast does not grow with the data.
 
 Edge cases: null texts and texts without a letter are ``und`` with score 0.
@@ -35,6 +35,8 @@ from ._text import row_groups
 UNKNOWN = "und"
 #: Labelled documents of each language that the model is fitted on, at most.
 SAMPLE_PER_LANGUAGE = 400
+#: Parts that a language's documents are dealt into before they are ranked.
+SALTS = 61
 #: Hashed trigram features.
 FEATURES = 1 << 15
 #: Added to every feature's count.
@@ -158,8 +160,10 @@ def _count(langs: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = SAMPLE_PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
     """Languages in order, and the log-likelihood of each feature in each."""
     known = docs.where(~held_out(doc_id) & F.col(lang).isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.select(F.col(lang).alias("lang"), F.col(doc_id).alias("doc_id")).withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= per_language)
+    ids = known.select(F.col(lang).alias("lang"), F.col(doc_id).alias("doc_id")).withColumn("salt", F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(SALTS)))
+    for by in (["lang", "salt"], ["lang"]):  # cut within salted parts first, so that no task ranks a whole language
+        order = Window.partitionBy(*by).orderBy(F.xxhash64("doc_id"), "doc_id")
+        ids = ids.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= per_language).drop("turn")
     chosen = ids.select("doc_id").distinct()
     langs = sorted(r["lang"] for r in ids.select("lang").distinct().collect())
     # bounded: per_language ids of each language
