@@ -44,7 +44,7 @@ def increment(cells: DataFrame, deltas: DataFrame, now: int, layout: Layout | No
     total = deltas.groupBy(*COLUMN_ID).agg(F.sum("delta").alias("delta"))
     current = cells.groupBy(*COLUMN_ID).agg(F.max_by("value", "version").alias("current"))
     kind = dict(cells.dtypes)["value"]
-    made = total.join(current, COLUMN_ID, "left").select(*COLUMN_ID, F.lit(now).cast("bigint").alias("version"), (F.coalesce("current", F.lit(0)) + F.col("delta")).cast(kind).alias("value"))
+    made = total.join(current, COLUMN_ID, "left").select(*COLUMN_ID, F.lit(now).cast("bigint").alias("version"), (F.coalesce(F.col("current").cast("bigint"), F.lit(0)) + F.col("delta")).cast(kind).alias("value"))
     return put(cells.withColumn("seq", F.coalesce("seq", F.lit(0))) if "seq" in cells.columns else cells.withColumn("seq", F.lit(0)), made.withColumn("seq", F.lit(1))).select(*cells.columns)
 
 

@@ -16,6 +16,7 @@ from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from wideframe.functions import schemas
 from wideframe.plans.layout import Layout, update
@@ -119,6 +120,7 @@ class Instance:
         """Replaces a table's cells by a new version of its folder."""
         layout = self.layout(table)
         number = len(self._list(f"tables/{table}/cells"))
+        self._write(f"tables/{table}/schema.json", StructType([*cells.schema.fields, StructField("locality_group", StringType())]).jsonValue())
         tables.write(cells, f"{self.path}/tables/{table}/cells/{number:06d}", layout, regions)
 
     def cells(self, table: str, families: list[str] | None = None) -> DataFrame:
@@ -128,7 +130,7 @@ class Instance:
         if not found:
             raise CatalogError(f"table {table!r} has no cells yet")
         groups = None if families is None else sorted({g.name for f in families if (g := layout.group_of(f)) is not None})
-        return tables.load(self.spark, f"{self.path}/tables/{table}/cells/{found[-1]}", groups)
+        return tables.load(self.spark, f"{self.path}/tables/{table}/cells/{found[-1]}", groups, StructType.fromJson(self._read(f"tables/{table}/schema.json")))
 
     # schemas -----------------------------------------------------------------------
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from wideframe.plans.layout import Layout
 
@@ -47,9 +48,9 @@ def write(table: DataFrame, path: str, layout: Layout | None = None, regions: in
     (writer.partitionBy("locality_group") if layout is not None else writer).parquet(path)
 
 
-def load(spark: SparkSession, path: str, groups: list[str] | None = None) -> DataFrame:
-    """Stored cells, of some locality groups only if asked."""
-    out = spark.read.parquet(path)
+def load(spark: SparkSession, path: str, groups: list[str] | None = None, schema: StructType | None = None) -> DataFrame:
+    """Stored cells, of some locality groups only if asked; a table without any cell needs its schema."""
+    out = (spark.read.schema(schema) if schema is not None else spark.read).parquet(path)
     if "locality_group" not in out.columns:
         return out
     return (out if groups is None else out.where(F.col("locality_group").isin(groups))).drop("locality_group")
