@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op2_byte_bpe
 from .dartminhash import op6_near_duplicates
-from .decontam import op7_decontaminate
+from .decontam import ORACLE_SQL, op7_decontaminate
 from .htmlmain import op5_html_main_text
 from .imatch import op1_imatch
 from .langid import op4_language_id
@@ -34,4 +34,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_decontaminate": ORACLE_SQL}
