@@ -28,14 +28,19 @@ ORACLE_SQL = None
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """The text, the id and the whole row as one column, so that no other name can clash."""
-    return docs.select("text", "doc_id", F.struct(*docs.columns).alias("row"))
+    """The text, and the rest of the row as one column, so that no other name can clash."""
+    return docs.select("text", F.struct(*[c for c in docs.columns if c != "text"]).alias("row"))
+
+
+def _unpacked(packed: DataFrame, columns: list[str], text: str = "text") -> DataFrame:
+    """The columns of documents again."""
+    return packed.select(*[F.col(text).alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in columns])
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is identified."""
-    found = langid.predict(_packed(docs), langid.train(docs), ["row"])
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("row.*")
+    found = langid.predict(_packed(docs), langid.train(docs), ["text", "row"])
+    return _unpacked(found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)), docs.columns)
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +51,8 @@ def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of the benchmark."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontam.search(_packed(docs), benchmark, ["row"]).where("n_hit = 0").select("row.*")
+    found = decontam.search(_packed(docs), benchmark, ["row"], cut=True)  # nothing is cut from a text without hits
+    return _unpacked(found.where("n_hit = 0"), docs.columns, "cleaned")
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

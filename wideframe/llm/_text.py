@@ -11,7 +11,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass works on; bounds memory for any document length.
 CHUNK_BYTES = 1 << 20
+#: Bytes of a batch that Spark hands to a worker, before the row that fills it.
+BATCH_BYTES = 8 << 20
 
 _FOLD = np.zeros(256, np.uint8)
 for _b in [*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]:
@@ -126,6 +128,17 @@ def row_groups(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.Re
         at = end
 
 
+def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` over batches of at most ``BATCH_BYTES``, so that long texts don't fill a worker's memory.
+
+    The limit is a setting of the session, set here.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name, None) != str(BATCH_BYTES):
+        conf.set(name, str(BATCH_BYTES))
+    return df.mapInArrow(function, schema)
+
+
 def list_array(values: pa.Array, counts: np.ndarray) -> pa.ListArray:
     """Lists of the given lengths over flat values."""
     ends = np.zeros(len(counts) + 1, np.int32)

@@ -36,7 +36,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._text import list_array, row_groups
+from ._text import list_array, map_batches, row_groups
 
 #: Rank file and splitting pattern of the production query.
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -348,7 +348,7 @@ def encode(docs: DataFrame, carry: list[str], text: str = "text", ranks: str = R
     shared = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks))
     own = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)], F.col(text).alias("t"))
     kept = "".join(f"c{i} {docs.schema[c].dataType.simpleString()}, " for i, c in enumerate(carry))
-    out = own.mapInArrow(_ids(shared, pattern, len(carry)), f"{kept}n_tokens bigint, ids array<int>")
+    out = map_batches(own, _ids(shared, pattern, len(carry)), f"{kept}n_tokens bigint, ids array<int>")
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)], "n_tokens", "ids")
 
 
@@ -367,7 +367,7 @@ def decode(tokens: DataFrame, carry: list[str], ids: str = "ids", ranks: str = R
     shared = tokens.sparkSession.sparkContext.broadcast(read_ranks(ranks))
     own = tokens.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)], F.col(ids).alias("t"))
     kept = "".join(f"c{i} {tokens.schema[c].dataType.simpleString()}, " for i, c in enumerate(carry))
-    out = own.mapInArrow(_texts(shared, len(carry)), f"{kept}decoded string")
+    out = map_batches(own, _texts(shared, len(carry)), f"{kept}decoded string")
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)], "decoded")
 
 
@@ -375,4 +375,4 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of their decoded bytes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("text", "doc_id")
     shared = spark.sparkContext.broadcast(read_ranks(RANKS))
-    return docs.mapInArrow(_digests(shared, PATTERN), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return map_batches(docs, _digests(shared, PATTERN), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

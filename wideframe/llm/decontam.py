@@ -32,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._text import row_groups, text_buffer, word_bounds, words
+from ._text import map_batches, row_groups, text_buffer, word_bounds, words
 
 #: Words in a window.
 WIDTH = 10
 #: Text bytes in one shard, and so in one FM-index.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 #: Benchmark text bytes that are broadcast at once.
 BLOCK_BYTES = 32 << 20
 #: One suffix position of so many is kept for locating.
@@ -311,7 +311,7 @@ def search(docs: DataFrame, benchmark: DataFrame, carry: list[str], text: str =
             schema = (head if cut else kept) + ", n_words bigint, spans array<struct<start:bigint,end:bigint>>, items array<string>, n_hit bigint, items_sha256 string"
         else:
             schema = head + ", n_words bigint, spans array<struct<first:bigint,last:bigint>>, items array<string>"
-        out = out.mapInArrow(_searcher(shared, last, cut, len(carry)), schema.lstrip(", "))
+        out = map_batches(out, _searcher(shared, last, cut, len(carry)), schema.lstrip(", "))
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)], *(["cleaned"] if cut else []), "n_words", "spans", "items", "n_hit", "items_sha256")
 
 

@@ -31,7 +31,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ._text import row_groups
+from ._text import map_batches, row_groups
 
 _TAG = re.compile(r"""<(?:!--|(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*+)>|[!?/][^>]*>)""")
 _LOOSE = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""")
@@ -331,7 +331,7 @@ def extract(pages: DataFrame, carry: list[str], html: str = "html") -> DataFrame
     """Columns ``carry`` of every page with its main ``text`` and ``n_chars``."""
     own = pages.selectExpr(f"`{html}` as h", *[f"`{c}` as c{i}" for i, c in enumerate(carry)])
     kept = "".join(f"c{i} {pages.schema[c].dataType.simpleString()}, " for i, c in enumerate(carry))
-    out = own.mapInArrow(_extract(len(carry)), f"{kept}text string, n_chars bigint")
+    out = map_batches(own, _extract(len(carry)), f"{kept}text string, n_chars bigint")
     return out.selectExpr(*[f"c{i} as `{c}`" for i, c in enumerate(carry)], "text", "n_chars")
 
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._text import key_ranges, mix64, row_groups, text_buffer, word_bounds, words
+from ._text import key_ranges, map_batches, mix64, row_groups, text_buffer, word_bounds, words
 
 #: Hashed terms of the lexicon.
 BUCKETS = 1 << 22
@@ -85,7 +85,7 @@ def lexicon(docs: DataFrame, text: str = "text") -> np.ndarray:
     """Whether each hashed term is in the band, packed to bits."""
     own = docs.select(F.col(text).alias("t"))
     total = own.count()
-    counts = own.mapInArrow(_frequencies, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
+    counts = map_batches(own, _frequencies, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
     low, high = (total / np.exp(x) for x in reversed(IDF_BAND))
     chosen = counts.where((F.col("n") >= max(low, LEAST_DOCUMENTS)) & (F.col("n") <= high))
     # packed by the executors into BUCKETS / 64 words at most
@@ -223,7 +223,7 @@ def near_edits(docs: DataFrame, bits: np.ndarray, text: str = "text", doc_id: st
     lone = own.where("doc_id is null").select("text", F.lit(None).cast("int").alias("number"), "doc_id", F.lit(False).alias("copy"))
     schema = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     shared = spark.sparkContext.broadcast(bits)
-    return dealt.mapInArrow(_pairs(shared), schema).union(lone.mapInArrow(_pairs(shared), schema))
+    return map_batches(dealt, _pairs(shared), schema).union(map_batches(lone, _pairs(shared), schema))
 
 
 def op1_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._text import row_groups
+from ._text import map_batches, row_groups
 
 UNKNOWN = "und"
 #: Labelled documents of each language that the model is fitted on, at most.
@@ -48,7 +48,7 @@ PENALTY = 3.0
 ROUNDS, SET_ROUNDS = 6, 4
 #: Remainder of crc32(doc_id) mod 4 that is held out.
 HELD_OUT = 2
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = 1 << 20
 
 _is_letter: np.ndarray | None = None
 
@@ -168,14 +168,14 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     langs = sorted(r["lang"] for r in ids.select("lang").distinct().collect())
     # bounded: per_language ids of each language
     sample = known.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(doc_id).alias("doc_id")).join(F.broadcast(chosen), "doc_id", "left_semi")
-    counts = sample.select("text", "lang").mapInArrow(_count(langs), "lang int, feature int, n bigint").groupBy("lang", "feature").agg(F.sum("n").alias("n")).collect()
+    counts = map_batches(sample.select("text", "lang"), _count(langs), "lang int, feature int, n bigint").groupBy("lang", "feature").agg(F.sum("n").alias("n")).collect()
     table = np.full((len(langs), FEATURES), SMOOTHING)
     for r in counts:
         table[r["lang"], r["feature"]] += r["n"]
     return langs, np.log(table / table.sum(axis=1, keepdims=True)) if langs else table
 
 
-def _predict(model, carried: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _predict(model, places: list[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, log_p = model.value
         for whole in batches:
@@ -185,8 +185,8 @@ def _predict(model, carried: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
                 sure = has & (best >= 0)
                 pred = [langs[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), sure.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(i + 1) for i in range(carried)), pa.array(pred, pa.string()), pa.array(np.where(sure, score, 0.0), pa.float64())],
-                    names=[*(f"c{i}" for i in range(carried)), "lang_pred", "score"],
+                    [*(batch.column(i) for i in places), pa.array(pred, pa.string()), pa.array(np.where(sure, score, 0.0), pa.float64())],
+                    names=[*(f"c{i}" for i in range(len(places))), "lang_pred", "score"],
                 )
 
     return run
@@ -195,9 +195,11 @@ def _predict(model, carried: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], carry: list[str], text: str = "text") -> DataFrame:
     """Columns ``carry`` of every document with ``lang_pred`` and ``score``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    own = docs.select(F.col(text).alias("t"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)])
+    others = [c for c in carry if c != text]  # the text itself is sent once
+    own = docs.select(F.col(text).alias("t"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(others)])
     kept = "".join(f"c{i} {docs.schema[c].dataType.simpleString()}, " for i, c in enumerate(carry))
-    out = own.mapInArrow(_predict(shared, len(carry)), f"{kept}lang_pred string, score double")
+    places = [0 if c == text else 1 + others.index(c) for c in carry]
+    out = map_batches(own, _predict(shared, places), f"{kept}lang_pred string, score double")
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)], "lang_pred", "score")
 
 

@@ -30,7 +30,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._text import list_array, row_groups, text_buffer
+from ._text import list_array, map_batches, row_groups, text_buffer
 from .bpe import read_ranks
 
 #: Rank file and splitting pattern of the production query, and its rule.
@@ -135,7 +135,7 @@ def section_counts(docs: DataFrame, carry: list[str], text: str = "text", bounds
     shared = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks))
     own = docs.select(F.col(text).alias("t"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)], *([F.col(bounds).cast("array<bigint>").alias("b")] if bounds else []))
     kept = "".join(f"c{i} {docs.schema[c].dataType.simpleString()}, " for i, c in enumerate(carry))
-    lists = own.mapInArrow(_counter(shared, pattern, rule, len(carry) + 1 if bounds else 0, len(carry)), f"{kept}n_tokens array<double>, n_crossing array<bigint>, n_chars array<bigint>")
+    lists = map_batches(own, _counter(shared, pattern, rule, len(carry) + 1 if bounds else 0, len(carry)), f"{kept}n_tokens array<double>, n_crossing array<bigint>, n_chars array<bigint>")
     flat = lists.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)], F.posexplode(F.arrays_zip("n_tokens", "n_crossing", "n_chars")).alias("section", "s"))
     return flat.select(*carry, "section", F.col("s.n_tokens").alias("n_tokens"), F.col("s.n_crossing").alias("n_crossing"), F.col("s.n_chars").alias("n_chars"))
 

@@ -45,7 +45,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._text import fresh_path, key_ranges, list_array, row_groups
+from ._text import fresh_path, key_ranges, list_array, map_batches, row_groups
 
 #: Tokenizer of the production query.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -235,7 +235,7 @@ def write_token_files(docs: DataFrame, path: str, text: str = "text", doc_id: st
     _, number = key_ranges(own, "doc_id", 4 * parts)
     own = own.select("text", number.cast("int").alias("shard"), "doc_id")
     encoded = fresh_path(spark, "encoded")
-    own.mapInArrow(_encode_blocks(shared, end_id), _RAW).write.parquet(encoded)
+    map_batches(own, _encode_blocks(shared, end_id), _RAW).write.parquet(encoded)
     raw = spark.read.schema(_RAW).parquet(encoded)
     counts = raw.select(F.explode(F.arrays_zip("ids", "counts")).alias("x")).groupBy("x.ids").agg(F.sum("x.counts").alias("n")).collect()
     ids = np.array([r["ids"] for r in sorted(counts, key=lambda r: (-r["n"], r["ids"]))], np.int64)
@@ -246,9 +246,9 @@ def write_token_files(docs: DataFrame, path: str, text: str = "text", doc_id: st
     for r in sorted(totals, key=lambda r: r["shards"]):
         first[r["shards"]] = total
         total += r["n"]
-    coded = raw.select("doc_ids", "shards", "lengths", "ids", "control", "data").mapInArrow(_recode(spark.sparkContext.broadcast(to_rank)), "doc_id bigint, shard int, n bigint, control binary, data binary")
+    coded = map_batches(raw.select("doc_ids", "shards", "lengths", "ids", "control", "data"), _recode(spark.sparkContext.broadcast(to_rank)), "doc_id bigint, shard int, n bigint, control binary, data binary")
     ordered = coded.repartition(parts, "shard").sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "n", "control", "data")
-    ordered.mapInArrow(_packer(first, block_ids), _BLOCKS).write.parquet(path)
+    map_batches(ordered, _packer(first, block_ids), _BLOCKS).write.parquet(path)
     spark.createDataFrame([(i, int(k)) for i, k in enumerate(ids)], "rank int, id int").coalesce(1).write.parquet(f"{path}.ranks")
     return path
 
@@ -277,7 +277,7 @@ def read_token_files(spark: SparkSession, path: str, digest: bool = False) -> Da
     to_id = spark.sparkContext.broadcast(np.array([r["id"] for r in ranks], "<u4"))
     blocks = spark.read.schema(_BLOCKS).parquet(path).select("start", "doc_ids", "lengths", "control", "data")
     last = "ids_crc32 bigint" if digest else "ids array<int>"
-    return blocks.mapInArrow(_reader(to_id, digest), f"doc_id bigint, start bigint, n_tokens bigint, {last}")
+    return map_batches(blocks, _reader(to_id, digest), f"doc_id bigint, start bigint, n_tokens bigint, {last}")
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
