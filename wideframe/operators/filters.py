@@ -11,7 +11,6 @@ A column filter decides on cells, as a boolean over a cell's columns.
 from __future__ import annotations
 
 import functools
-import re
 from dataclasses import dataclass, fields
 from typing import Any
 
@@ -255,9 +254,3 @@ def from_dict(described: dict[str, Any]) -> RowFilter | ColumnFilter:
     if "components" in rest:
         rest["components"] = tuple((n, v) for n, v in rest["components"])
     return KNOWN[name](**rest)
-
-
-def valid_pattern(pattern: str) -> str:
-    """The pattern, checked."""
-    re.compile(pattern)
-    return pattern
