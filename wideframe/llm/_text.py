@@ -8,6 +8,8 @@ bytes keeps whole batches inside numpy.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -128,6 +130,21 @@ def row_groups(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.Re
         at = end
 
 
+def release_memory() -> None:
+    """Gives freed memory back to the system, as workers outlive tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def _released(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        release_memory()
+
+    return run
+
+
 def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` over batches of at most ``BATCH_BYTES``, so that long texts don't fill a worker's memory.
 
@@ -136,7 +153,7 @@ def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], It
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     if conf.get(name, None) != str(BATCH_BYTES):
         conf.set(name, str(BATCH_BYTES))
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(_released(function), schema)
 
 
 def list_array(values: pa.Array, counts: np.ndarray) -> pa.ListArray:

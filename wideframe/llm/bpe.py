@@ -42,10 +42,10 @@ from ._text import list_array, map_batches, row_groups
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 #: Pieces, and transducer states, that a worker remembers.
-CACHE_PIECES = 1 << 18
-CACHE_STATES = 1 << 17
+CACHE_PIECES = 1 << 17
+CACHE_STATES = 1 << 16
 #: Text bytes a worker encodes at once.
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 2 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -114,7 +114,7 @@ class Transducer:
         key = (before, token)
         ok = self.pairs.get(key)
         if ok is None:
-            if len(self.pairs) > 4 * CACHE_STATES:
+            if len(self.pairs) > 2 * CACHE_STATES:
                 self.pairs.clear()
             ok = self.pairs[key] = self._stays_apart(before, token)
         return ok
