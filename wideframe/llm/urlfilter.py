@@ -137,7 +137,7 @@ def judge(pages: DataFrame, weights: list[float], carry: list[str], url: str = "
     host, path = host_and_path(F.col("u"))
     own = pages.select(F.col(url).alias("u"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)])
     own = own.select(*[f"c{i}" for i in range(len(carry))], host.alias("host"), path.alias("path"))
-    table = F.lit(weights[:-1])
+    table = F.expr(f"array({', '.join(f'{w!r}D' for w in weights[:-1])})")
     score = F.aggregate(features(F.col("host"), F.col("path")), F.lit(weights[-1]), lambda s, j: s + F.get(table, j))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     own = own.withColumn("p_block", _sigmoid(score))
