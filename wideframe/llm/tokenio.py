@@ -55,6 +55,8 @@ END_ID = 1
 BLOCK_IDS = 1 << 18
 #: Pieces whose ids a worker remembers.
 CACHE_PIECES = 3 << 17
+#: Pieces of more characters are not remembered.
+LONG_PIECE = 256
 #: Text bytes a worker encodes at once.
 GROUP_BYTES = 4 << 20
 
@@ -119,7 +121,11 @@ class PieceEncoder:
         for piece, made in zip(pieces, self.library.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
             self.cache[piece] = array("I", made.ids).tobytes()
         get = self.cache.__getitem__
-        return [b"".join(map(get, p)) + self.end for p in split]
+        out = [b"".join(map(get, p)) + self.end for p in split]
+        for piece in pieces:
+            if len(piece) > LONG_PIECE:
+                del self.cache[piece]
+        return out
 
 
 _encoders: dict[int, PieceEncoder] = {}
