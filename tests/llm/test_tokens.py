@@ -42,7 +42,8 @@ def test_transducer_equals_merging_by_rank(ranks, library):
 
 
 def test_small_caches_change_nothing(ranks, library, monkeypatch):
-    monkeypatch.setattr(bpe, "CACHE_STATES", 20)
+    monkeypatch.setattr(bpe, "CACHE_STEPS", 20)
+    monkeypatch.setattr(bpe, "CACHE_PAIRS", 20)
     monkeypatch.setattr(bpe, "CACHE_PIECES", 3)
     encoder = bpe.Encoder(ranks, bpe.PATTERN)
     for text in odd_texts(30, 5):

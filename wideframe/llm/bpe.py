@@ -1,16 +1,15 @@
 """Operator 2 - byte-level BPE by a lazily determinised finite-state transducer.
 
 A text is split by the tokenizer's pattern; each match is read byte by byte.
-At any byte a few readings stay open: for each earlier byte at which a token
-could still start, the bytes since then (a node of the vocabulary's prefix
-tree) and the last token before it.  The set of open readings is one state of
-the transducer; states and transitions are made when first needed and
-remembered.  A step tells which token ends at the byte; no reading stays open
-for longer than the longest vocabulary entry, and as soon as only the latest is
-open the tokens so far are emitted.  A reading ends in a token only if
-that token may follow the token before it: two tokens may stand side by side if
-merging their joined bytes by rank gives just them, which makes the reading of
-each prefix unique and equal to merging by rank.
+At any byte a few readings stay open: the places where a token that goes on could
+have started, each a node of the vocabulary's prefix tree.  The set of open
+nodes is one state of the transducer; states and transitions are made when first
+needed and remembered, and there are no more states than nodes.  A transition
+tells which tokens can end at its byte, longest first; the one that may follow
+the token before it does.  No reading stays open for longer than the longest
+vocabulary entry, and as soon as none is open the tokens so far are emitted.  Two
+tokens may stand side by side if merging their joined bytes by rank gives just
+them, which makes the reading of each prefix unique and equal to merging by rank.
 
 Decoding streams: an incremental UTF-8 state machine holds the bytes of an
 unfinished character, and its steps on whole tokens are remembered.
@@ -27,6 +26,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -41,9 +41,10 @@ from ._text import list_array, map_batches, row_groups
 #: Rank file and splitting pattern of the production query.
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
-#: Pieces, and transducer states, that a worker remembers.
+#: Pieces, transitions, and pairs of tokens that a worker remembers.
 CACHE_PIECES = 1 << 17
-CACHE_STATES = 1 << 16
+CACHE_STEPS = 1 << 18
+CACHE_PAIRS = 1 << 19
 #: Text bytes a worker encodes at once.
 GROUP_BYTES = 2 << 20
 
@@ -61,27 +62,25 @@ class Transducer:
         self.ranks = ranks
         self.token = {i: b for b, i in ranks.items()}
         self.length = {i: len(b) for b, i in ranks.items()}
-        self.children: list[dict[int, int]] = [{}]
-        self.ends: list[int] = [-1]
+        # the prefix tree, by node and byte (node << 8 | byte): the next node if tokens go on from it, the token that ends there
+        self.moves: dict[int, int] = {}
+        self.ends: dict[int, int] = {}
         self.halves: dict[int, tuple[int, int] | None] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        # by token: whether it may follow each token that was asked for
+        self.after: dict[int, dict[int, bool]] = {}
+        self.pairs = 0
         for piece, rank in ranks.items():
             node = 0
-            for byte in piece:
-                down = self.children[node].get(byte)
-                if down is None:
-                    down = self.children[node][byte] = len(self.children)
-                    self.children.append({})
-                    self.ends.append(-1)
-                node = down
-            self.ends[node] = rank
+            for byte in piece[:-1]:
+                node = self.moves.setdefault(node | byte, len(self.moves) + 1 << 8)
+            self.ends[node | piece[-1]] = rank
         self._forget()
 
     def _forget(self) -> None:
-        # a state: open readings (node of the bytes since a boundary, last token before it), latest boundary last
-        self.states: list[tuple[tuple[int, int], ...]] = [((0, -1),)]
-        self.numbers = {self.states[0]: 0}
-        self.steps: dict[int, tuple[int, int, bool]] = {}
+        # a state is named by its open nodes, longest first, and holds its transitions by byte
+        self.states: dict[tuple[int, ...], dict] = {(): {}}
+        self.names: dict[int, tuple[int, ...]] = {id(self.states[()]): ()}
+        self.known_steps = 0
 
     def merge(self, piece: bytes, parts_left: int = 1) -> list[bytes]:
         """Merging by rank, the definition of the encoding, down to so many parts."""
@@ -106,17 +105,13 @@ class Transducer:
         return self.halves[token]
 
     def may_follow(self, before: int, token: int) -> bool:
-        """Whether merging the joined bytes by rank leaves the two tokens side by side."""
-        if self.split(token) == (-1, -1):
-            return False
-        if before < 0:
-            return True
-        key = (before, token)
-        ok = self.pairs.get(key)
-        if ok is None:
-            if len(self.pairs) > 2 * CACHE_STATES:
-                self.pairs.clear()
-            ok = self.pairs[key] = self._stays_apart(before, token)
+        """Whether merging the joined bytes by rank leaves the two tokens side by side; remembers it."""
+        if self.pairs > CACHE_PAIRS:
+            for known in self.after.values():
+                known.clear()
+            self.pairs = 0
+        self.pairs += 1
+        ok = self.after.setdefault(token, {})[before] = before < 0 or self._stays_apart(before, token)
         return ok
 
     def _stays_apart(self, left: int, right: int) -> bool:
@@ -137,56 +132,50 @@ class Transducer:
             else:
                 undone, b = b + 1, half_b[0]
 
-    def _step(self, state: int, byte: int) -> tuple[int, int, bool]:
-        """Next state, the token that ends here, and whether no other reading is open; makes the state if it is new."""
-        later: list[tuple[int, int]] = []
-        ended = -1
-        children, ends = self.children, self.ends
-        for node, before in self.states[state]:
-            down = children[node].get(byte)
-            if down is None:
-                continue
-            if children[down]:
-                later.append((down, before))
-            if ended < 0 and ends[down] >= 0 and self.may_follow(before, ends[down]):
-                ended = ends[down]
-        if ended < 0:
-            raise ValueError("the vocabulary does not cover every byte")
-        later.append((0, ended))
-        made = tuple(later)
-        number = self.numbers.get(made)
-        if number is None:
-            number = self.numbers[made] = len(self.states)
-            self.states.append(made)
-        return number, ended, len(later) == 1
+    def _step(self, state: dict, byte: int) -> tuple[dict, tuple[tuple[int, int, dict], ...]]:
+        """Next state, and (token, length, what it may follow) of the tokens that can end here; makes the state if it is new."""
+        at = [node | byte for node in (*self.names[id(state)], 0)]
+        name = tuple(self.moves[x] for x in at if x in self.moves)
+        after = self.states.get(name)
+        if after is None:
+            after = self.states[name] = {}
+            self.names[id(after)] = name
+        ended = [self.ends[x] for x in at if x in self.ends]
+        step = state[byte] = after, tuple((t, self.length[t], self.after.setdefault(t, {})) for t in ended if self.split(t) != (-1, -1))
+        self.known_steps += 1
+        return step
 
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self.states) > CACHE_STATES:
+        if self.known_steps > CACHE_STEPS:
             self._forget()
-        steps, state, ids, pending = self.steps, 0, [], []
+        start, ids = self.states[()], []
+        state, last = start, [-1]  # last: the token that ends at each boundary since the last emission
         for byte in piece:
-            key = state << 8 | byte
-            step = steps.get(key)
-            if step is None:
-                step = steps[key] = self._step(state, byte)
-            state, ended, settled = step
-            pending.append(ended)
-            if settled:
-                self._emit(pending, ids)
-        self._emit(pending, ids)
+            step = state.get(byte) or self._step(state, byte)
+            state, ended = step
+            for token, length, after in ended:
+                ok = after.get(last[-length])
+                if ok or (ok is None and self.may_follow(last[-length], token)):
+                    break
+            else:
+                raise ValueError("the vocabulary does not cover every byte")
+            last.append(token)
+            if state is start:
+                self._emit(last, ids)
+        self._emit(last, ids)
         return ids
 
     def _emit(self, pending: list[int], ids: list[int]) -> None:
-        """Moves the one reading that ends here from the tokens that end at each pending byte to ids."""
+        """Moves the one reading that ends here from the tokens that end at each boundary to ids."""
         at, out = len(pending), []
-        while at:
+        while at > 1:
             out.append(pending[at - 1])
             at -= self.length[out[-1]]
         ids += reversed(out)
-        pending.clear()
+        del pending[:-1]
 
 
 class Pieces(dict):
@@ -200,7 +189,7 @@ class Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
         if ids is None:
-            ids = np.array(self.transducer.encode(piece.encode()), "<u4").tobytes()
+            ids = array("I", self.transducer.encode(piece.encode())).tobytes()
         if len(piece) < 256:
             if len(self) >= CACHE_PIECES:
                 self.old = dict(self)
@@ -289,7 +278,7 @@ class StreamDecoder:
             move = moves.get(key)
             if move is None:
                 text = machine.feed(self.token[i])
-                if len(moves) > CACHE_STATES:
+                if len(moves) > CACHE_PIECES:
                     moves.clear()
                 moves[key] = (machine.held, text)
             else:
