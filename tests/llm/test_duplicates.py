@@ -256,3 +256,12 @@ def test_lexicon_is_the_band(spark):
 def test_long_texts_keep_memory_small():
     table = imatch.fingerprints(pa.array([LONG, LONG]), np.zeros(imatch.BUCKETS // 64, np.int64))
     assert (table[0] == table[1]).all()
+
+
+def test_joined_labels_equal_components_of_all_links(spark):
+    rnd = random.Random(11)
+    pairs = [tuple(rnd.sample(range(120), 2)) for _ in range(90)]
+    old, new = spark.createDataFrame(pairs[:50], "a int, b int"), spark.createDataFrame(pairs[50:], "a int, b int")
+    got = {r["node"]: r["label"] for r in dartminhash.joined_labels(dartminhash.components(old), new).collect()}
+    want = {r["node"]: r["label"] for r in dartminhash.components(old.union(new)).collect()}
+    assert got == want
