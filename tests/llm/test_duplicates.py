@@ -90,6 +90,24 @@ def test_op6_equals_brute_force(spark):
     assert shown(dartminhash.near_duplicates(df)) == sorted(brute_classes(rows), key=str)
 
 
+@pytest.mark.parametrize("weighted", [False, True])
+def test_op6_large_buckets_are_whole(spark, weighted):
+    rnd = random.Random(16)
+    word = lambda: f"w{rnd.randrange(100_000)}"
+    template, base, rows = [word() for _ in range(84)], [word() for _ in range(120)], []
+    for _ in range(150):  # 0.77 to all others, 0.9 to the partner
+        own = [word() for _ in range(12)]
+        rows += [" ".join(template + own), " ".join(template + own[:8] + [word() for _ in range(4)])]
+    for _ in range(150):  # edits all over the text, without the text itself: 0.7 to 0.85
+        other = list(base)
+        for at in rnd.sample(range(120), 2):
+            other[at] = word()
+        rows.append(" ".join(other))
+    rows = list(enumerate(rows))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert shown(dartminhash.near_duplicates(df, weighted=weighted)) == sorted(brute_classes(rows), key=str)
+
+
 def test_op6_edges(spark, awkward, nothing):
     rows = [(d, t) for d, t, _ in TEXTS]
     assert shown(dartminhash.near_duplicates(awkward)) == sorted(brute_classes(rows), key=str)

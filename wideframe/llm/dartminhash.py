@@ -31,7 +31,9 @@ pair them; such classes hang together by few pairs just above the threshold.
 
 Scale: text is shuffled once, for the exact check, and only texts in candidate
 pairs go on from there.  Hot texts are spread by doc_id, hot buckets are
-summed before the shuffle, hot leaders are split by adaptive skew joins.
+summed before the shuffle, hot leaders are split by adaptive skew joins.  The exact
+join's pairs grow with the square of a group only if its members lie just below
+the threshold to each other, their differences spread over the whole text.
 
 Edge cases: a null text is an empty text, and empty texts are equal.  A text of
 1 to 4 words is one shingle; texts without words are compared by equality only.
@@ -61,6 +63,8 @@ ROWS = 4
 LEADERS = 4
 #: Leaders of a bucket in each later round.
 LATER_LEADERS = 1
+#: Counters of hashed shingles that order them by rarity; results do not depend on them.
+SLOTS = 1 << 18
 #: Text bytes whose signatures a worker makes at once.
 GROUP_BYTES = 2 << 20
 
@@ -209,6 +213,53 @@ def _checker(weighted: bool, least: float) -> Callable[[Iterator[pa.RecordBatch]
     return run
 
 
+def _copies(texts: pa.Array, weighted: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles of each text and their bounds; weighted: each copy of a shingle is an element of its own."""
+    data, offsets = text_buffer(texts)
+    hashes, starts, _ = words(data, offsets)
+    elements, bounds, counts = _weighted(*shingles(hashes, word_bounds(starts, offsets)))
+    if not weighted:
+        return elements, bounds
+    n = counts.astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(n)])
+    turn = np.arange(ends[-1]) - np.repeat(ends[:-1], n)
+    return mix64(np.repeat(elements, n) + turn.astype(np.uint64) * _GOLD), ends[bounds]
+
+
+def _counter(weighted: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(slot, n) of the shingles of (tkey, label, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for whole in batches:
+            for batch in row_groups(whole, 2, GROUP_BYTES):
+                elements, _ = _copies(batch.column(2), weighted)
+                total += np.bincount((elements % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["slot", "n"])
+
+    return run
+
+
+def _prefixes(weighted: bool, least: float, common: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(e, tkey, label, n, i): the first shingles of each set of n, by rarity, at place i from 1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in row_groups(whole, 2, GROUP_BYTES):
+                elements, bounds = _copies(batch.column(2), weighted)
+                size = np.diff(bounds)
+                doc = np.repeat(np.arange(len(size)), size)
+                elements = elements[np.lexsort((elements, common[(elements % np.uint64(SLOTS)).astype(np.int64)], doc))]
+                place = np.arange(len(elements)) - bounds[doc] + 1
+                first = place <= (size - np.ceil(least * size - 1e-9) + 1)[doc]
+                own = pa.array(doc[first])
+                columns = [pa.array(elements[first].view(np.int64)), batch.column(0).take(own), batch.column(1).take(own), pa.array(size[doc[first]]), pa.array(place[first])]
+                yield pa.RecordBatch.from_arrays(columns, names=["e", "tkey", "label", "n", "i"])
+
+    return run
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, label): each node of the links with the least node of its component.
 
@@ -248,11 +299,41 @@ def _pairs(members: DataFrame, order: list, central: DataFrame, leaders_each: in
     leaders = leaders.groupBy("band").agg(F.sort_array(F.collect_list(F.struct("tkey", "label"))).alias("leaders"))
     paired = members.select("band", "tkey", "label").join(leaders, "band").groupBy("tkey", "label").agg(F.collect_set("leaders").alias("sets"))
     pairs = paired.select("tkey", "label", F.explode(F.array_distinct(F.flatten("sets"))).alias("l")).where("l.label <> label").select("tkey", F.col("l.tkey").alias("lead"))
+    return _ordered(pairs, central)
+
+
+def _ordered(pairs: DataFrame, central: DataFrame) -> DataFrame:
+    """(a, b) of pairs (tkey, lead), the more central node first."""
     pairs = pairs.join(central.select(F.col("tkey").alias("lead"), F.col("central").alias("lead_central")), "lead").join(central, "tkey")
     lead_left = (F.col("lead_central") > F.col("central")) | ((F.col("lead_central") == F.col("central")) & (F.col("lead") < F.col("tkey")))
     return pairs.select(F.when(lead_left, F.col("lead")).otherwise(F.col("tkey")).alias("a"), F.when(lead_left, F.col("tkey")).otherwise(F.col("lead")).alias("b")).distinct()
 
 
+def _all_pairs(nodes: DataFrame, weighted: bool, least: float) -> DataFrame:
+    """(tkey, lead): all pairs of nodes (tkey, label, text) with different labels whose shingles' places allow the similarity.
+
+    One of a pair is outside the most frequent label of their common shingle, so
+    a large class is not paired with itself.
+    """
+    spark = nodes.sparkSession
+    counted = map_batches(nodes, _counter(weighted), "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    common = np.zeros(SLOTS, np.uint8)
+    common[counted["slot"].to_numpy()] = np.minimum(np.log2(counted["n"].to_numpy()) * 8, 255)
+    path = fresh_path(spark, "dart-prefixes")
+    map_batches(nodes, _prefixes(weighted, least, common), "e bigint, tkey binary, label binary, n bigint, i bigint").write.parquet(path)
+    first = spark.read.parquet(path)
+    kinds = first.groupBy("e", "label").agg(F.count(F.lit(1)).alias("rows"))
+    kinds = kinds.groupBy("e").agg(F.count(F.lit(1)).alias("kinds"), F.max_by("label", "rows").alias("main")).where("kinds > 1").select("e", "main")
+    path = fresh_path(spark, "dart-postings")
+    first.join(kinds, "e").write.parquet(path)
+    y = spark.read.parquet(path)
+    x = y.where("label <> main").select("e", F.col("tkey").alias("lead"), F.col("label").alias("lead_label"), F.col("n").alias("m"), F.col("i").alias("j"))
+    both = x.join(y, "e").where("lead_label <> label and (label = main or lead < tkey)")
+    need = F.lit(least / (1 + least)) * (F.col("n") + F.col("m")) - 1e-9
+    both = both.where(1 + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= need)
+    return both.where(F.least("n", "m") >= F.lit(least) * F.greatest("n", "m") - 1e-9).select("tkey", "lead").distinct()
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", weighted: bool = False, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id, n_class, tkey, label) of every document.
 
@@ -296,9 +377,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         pairs = _pairs(named.join(mixed, "band"), [F.xxhash64(F.lit(turn), "band", "tkey"), F.asc("tkey")], central, LATER_LEADERS)
         pairs = pairs.join(tested, ["a", "b"], "left_anti").checkpoint()
         more = linked(pairs)
+        tested = tested.union(pairs)
         if not more.limit(1).count():
             break
-        tested, labels = tested.union(pairs), joined_labels(labels, more)
+        labels = joined_labels(labels, more)
+    # what is left of the buckets that still hold several classes is joined exactly
+    left = named.join(mixed, "band", "left_semi").select("tkey", "label").distinct()
+    pairs = _ordered(_all_pairs(left.join(texts, "tkey").select("tkey", "label", "text"), weighted, similarity), central).join(tested, ["a", "b"], "left_anti").checkpoint()
+    more = linked(pairs)
+    if more.limit(1).count():
+        labels = joined_labels(labels, more)
 
     named = nodes.join(labels.withColumnRenamed("node", "tkey"), "tkey", "left").withColumn("label", F.coalesce("label", "tkey"))
     classes = named.groupBy("label").agg(F.min("rep").alias("class_id"), F.sum("n").alias("n_class"))
