@@ -222,6 +222,18 @@ def test_op10_equals_brute_force(spark, monkeypatch):
     assert sorted((r["conv_id"], r["seq"], r["text"], r["parent_seq"], r["branch"], r["position"]) for r in made) == sorted(want)
 
 
+def test_op10_rewrapped_partial_and_repeated_quotes(spark, monkeypatch):
+    monkeypatch.setattr(quotes, "SPAN", 4)
+    talk = [
+        "Thanks.\nAda", "ok\nAda", "The old bridge over the river was closed for repairs last week by the city.", "Thanks.\nok\nAda", "Which way do you go to work now?",
+        "> The old bridge over the river\n> was closed for repairs\n> last week by the city.\nI heard.", "> closed for repairs last week\nSince when?", "> do you go\nBy boat.",
+        "> Thanks.\n> ok\n> Ada\nWelcome.", "> Thanks. ok\nWelcome again.", "> nobody wrote this line here\nx", "> Thanks.\n\nfirst\n> ok\n> Ada\nlast", ">> Which way do\n>> you go to work\n> Since\n> when?\ny",
+    ]
+    df = spark.createDataFrame([(1, i, "u", t) for i, t in enumerate(talk)], "conv_id bigint, turn bigint, role string, text string")
+    got = {r["seq"]: r["parent_seq"] for r in quotes.link_quotations(df).collect()}
+    assert [got[i] for i in range(5, 13)] == [2, 2, 4, 3, 3, 9, 1, 6]
+
+
 def test_op10_query(spark, data):
     rows = quotes.op10_quotation_links(spark, data)
     assert rows.count() == spark.read.parquet(f"{data}/conversations.parquet").count()

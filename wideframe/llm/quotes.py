@@ -1,11 +1,16 @@
 """Operator 10 - chat formatting by quotation linking.
 
 Messages quote earlier ones with ``>`` line by line, nested quotes with ``>>``
-and so on.  Quoted lines are parsed into levels, normalised (lower case, white
-space runs to one blank, trimmed) and hashed; a hash is joined to the message of
-the same conversation that first wrote the line itself.  A message replies to the
-message of its outermost linked quotes (of several, the latest), and without a
-link to the message before it.  A message that is its parent's first reply
+and so on.  Quoted lines are parsed into levels and normalised (lower case, white
+space runs to one blank, trimmed); adjacent lines of one level are one passage.
+A passage is hashed line by line and, its lines folded into one, by windows of
+``WINDOW`` words (a shorter passage is one window), so that quotes that are wrapped
+anew or take part of a line are found.  Of the earlier messages of the conversation
+that wrote a line of the passage or half of its words, it is linked to the one that
+covers most of its words, then has most of its windows, then the shortest, then the latest;
+equal messages count as their first.  A message replies to the message of its
+outermost linked passages (of several, the latest), and without a link to the
+message before it.  A message that is its parent's first reply
 carries on the parent's branch, any other opens a branch.  Each message comes out
 with its place in its branch and without quotes and their ``On ... wrote:`` lines.
 
@@ -13,9 +18,10 @@ All of it is DataFrame expressions.
 
 Scale: no window or group holds a whole conversation.  Places within a
 conversation are counted in two levels (runs of ``SPAN`` turns, then the runs),
-lines are matched by (conversation, hash) against their first writer, which is
-pre-aggregated, so a line that is written and quoted often costs its own rows
-only.  Adjacent messages of a branch are one run, and only runs that follow a
+hashes are matched by conversation between distinct passages and distinct messages,
+and a passage's best message so far is a running maximum in two levels, so a message
+that is written and quoted often costs its own rows only.  A hash that many distinct
+messages of a conversation hold meets each distinct passage that holds it.  Adjacent messages of a branch are one run, and only runs that follow a
 quotation link are chained, by pointer jumping with checkpoints.
 
 Edge cases: a null text is empty; a null turn comes first, null roles first among
@@ -38,6 +44,9 @@ SPAN = 512
 #: Parts that the messages of a conversation without a turn are dealt into.
 NULL_PARTS = 64
 
+#: Words of a window.
+WINDOW = 4
+
 _QUOTE = r"(?m)^(?:On [^\n]*wrote:[ \t]*\n(?=[ \t]*>))?(?:[ \t]*>[^\n]*(?:\n|\z))+"
 
 
@@ -51,11 +60,11 @@ def normalised(line: Column) -> Column:
 
 
 def quoted_lines(text: Column) -> Column:
-    """Array of (level, line) of a message's quoted lines."""
-    marks = F.transform(F.split(text, "\n"), lambda x: F.struct(F.regexp_extract(x, r"^((?:[ \t]*>)+)", 1).alias("m"), x.alias("x")))
+    """Array of (at, level, line) of a message's quoted lines, ``at`` their place among all its lines."""
+    marks = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("at"), F.regexp_extract(x, r"^((?:[ \t]*>)+)", 1).alias("m"), x.alias("x")))
     return F.transform(
         F.filter(marks, lambda s: s["m"] != ""),
-        lambda s: F.struct((F.char_length(s["m"]) - F.char_length(F.replace(s["m"], F.lit(">"), F.lit("")))).alias("level"), normalised(F.substring(s["x"], F.char_length(s["m"]) + 1, F.char_length(s["x"]))).alias("line")),
+        lambda s: F.struct(s["at"].alias("at"), (F.char_length(s["m"]) - F.char_length(F.replace(s["m"], F.lit(">"), F.lit("")))).alias("level"), normalised(F.substring(s["x"], F.char_length(s["m"]) + 1, F.char_length(s["x"]))).alias("line")),
     )
 
 
@@ -76,6 +85,63 @@ def _numbered(messages: DataFrame) -> DataFrame:
     return rows.withColumn("seq", F.row_number().over(order) - 1 + F.coalesce("earlier", F.lit(0))).drop("run", "earlier")
 
 
+def _windows(words: Column, size: Column) -> Column:
+    """Array of (hash, start) of the windows of ``size`` words, at least 1."""
+    starts = F.when(F.size(words) >= size, F.sequence(F.lit(1), F.size(words) - size + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.struct(F.md5(F.concat_ws(" ", F.lit("w"), F.slice(words, i, size))).alias("hash"), i.alias("start")))
+
+
+def _line_hash(line: Column) -> Column:
+    return F.md5(F.concat(F.lit("l "), line))
+
+
+def _passages(messages: DataFrame) -> DataFrame:
+    """(conv_id, seq, level, passage, lines) of the runs of adjacent quoted lines of one level; ``passage`` is unique to a conversation."""
+    said = messages.select("conv_id", "seq", F.explode("quoted").alias("q")).select("conv_id", "seq", "q.*")
+    order = Window.partitionBy("conv_id", "seq").orderBy("at")
+    starts = F.coalesce((F.lag("at").over(order) != F.col("at") - 1) | (F.lag("level").over(order) != F.col("level")), F.lit(True))
+    runs = said.withColumn("starts", starts.cast("int")).withColumn("run", F.sum("starts").over(order)).where("line <> ''")
+    runs = runs.groupBy("conv_id", "seq", "run", "level").agg(F.sort_array(F.collect_list(F.struct("at", "line")))["line"].alias("lines"))
+    return runs.select("conv_id", "seq", "level", F.md5(F.concat_ws("\n", F.col("conv_id").cast("string"), "lines")).alias("passage"), "lines")
+
+
+def _linked(messages: DataFrame) -> DataFrame:
+    """(conv_id, seq, linked) of the messages with a linked passage."""
+    spark = messages.sparkSession
+    path = fresh_path(spark, "passages")
+    _passages(messages.where(F.size("quoted") > 0)).write.parquet(path)
+    quoting = spark.read.parquet(path)
+    texts = quoting.dropDuplicates(["passage"]).select("conv_id", "passage", "lines", F.split(F.concat_ws(" ", "lines"), " ").alias("words"))
+    texts = texts.withColumn("n", F.size("words")).withColumn("size", F.least("n", F.lit(WINDOW)))
+    windows = texts.select("conv_id", "passage", "n", "size", F.explode(_windows(F.col("words"), F.col("size"))).alias("w"))
+    windows = windows.select("conv_id", "passage", "n", "w.hash", F.col("w.start").alias("start"), "size", F.lit(False).alias("whole"))
+    lines = texts.select("conv_id", "passage", "n", "lines", F.posexplode("lines").alias("k", "line"))
+    ahead = F.size(F.split(F.concat_ws(" ", F.slice("lines", 1, F.col("k"))), " "))
+    lines = lines.select("conv_id", "passage", "n", _line_hash(F.col("line")).alias("hash"), F.when(F.col("k") == 0, 1).otherwise(ahead + 1).alias("start"), F.size(F.split("line", " ")).alias("size"), F.lit(True).alias("whole"))
+    units = windows.union(lines)
+
+    wrote = messages.join(quoting.select("conv_id").distinct(), "conv_id", "left_semi").select("conv_id", "seq", F.split("text", "\n").alias("lines"), normalised(F.col("text")).alias("folded"))
+    wrote = wrote.groupBy("conv_id", F.md5(F.concat_ws("\n", F.transform("lines", normalised))).alias("same")).agg(F.min_by(F.struct("seq", "lines", "folded"), "seq").alias("m")).select("conv_id", "m.*")
+    wrote = wrote.where("folded <> ''").withColumn("words", F.split("folded", " "))
+    hashes = F.concat(F.transform("lines", lambda x: _line_hash(normalised(x))), *[F.transform(_windows(F.col("words"), F.lit(k)), lambda w: w["hash"]) for k in range(1, WINDOW + 1)])
+    held = wrote.select("conv_id", F.col("seq").alias("source"), F.size("words").alias("n_source"), F.explode(F.array_distinct(hashes)).alias("hash"))
+
+    covers = units.join(held, ["conv_id", "hash"]).groupBy("conv_id", "passage", "n", "source", "n_source").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_list(F.sequence("start", F.col("start") + F.col("size") - 1))))).alias("cover"), F.count(F.lit(1)).alias("units"), F.max("whole").alias("whole")
+    )
+    covers = covers.where("whole or 2 * cover >= n")
+    value = F.struct("cover", "units", (-F.col("n_source")).alias("short"), "source")
+    # the best earlier message of each quoting one: a running maximum by passage
+    rows = covers.select(F.col("passage").alias("conv_id"), F.col("source").alias("seq"), value.alias("best"), F.lit(None).cast("bigint").alias("talk"), F.lit(None).cast("int").alias("level"))
+    asked = quoting.join(covers.select("passage").distinct(), "passage", "left_semi")
+    rows = rows.union(asked.select("passage", "seq", F.lit(None).cast(rows.schema["best"].dataType), F.col("conv_id"), "level"))
+    rows = _carried(rows.withColumn("run", F.floor(F.col("seq") / SPAN)), "run", F.col("best"), "carried", F.max)
+    before = Window.partitionBy("conv_id", "run").orderBy("seq").rangeBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("now", F.max("best").over(before)).withColumn("now", F.greatest("now", "carried"))
+    found = rows.where("level is not null and now is not null").select(F.col("talk").alias("conv_id"), "seq", "level", F.col("now.source").alias("source"))
+    return found.groupBy("conv_id", "seq").agg(F.min(F.struct("level", (-F.col("source")).alias("back"))).alias("p")).select("conv_id", "seq", (-F.col("p.back")).alias("linked"))
+
+
 def _chained(runs: DataFrame) -> DataFrame:
     """(conv_id, head, branch, ahead) of runs (conv_id, head, length, prev): first run of the branch, messages before the run."""
     shared_dir(runs.sparkSession)
@@ -101,15 +167,7 @@ def link_quotations(conversations: DataFrame) -> DataFrame:
     numbered.select("conv_id", "seq", "turn", "role", own_text(F.col("text")).alias("text"), quoted_lines(F.col("text")).alias("quoted")).write.parquet(path)
     messages = spark.read.parquet(path)
 
-    said = messages.where(F.size("quoted") > 0).select("conv_id", "seq", F.explode("quoted").alias("q"))
-    said = said.where("q.line <> ''").select("conv_id", "seq", "q.level", F.md5("q.line").alias("hash"))
-    quoting = said.select("conv_id").distinct()
-    wrote = messages.join(quoting, "conv_id", "left_semi").select("conv_id", "seq", F.explode(F.split("text", "\n")).alias("line"))
-    wrote = wrote.select("conv_id", "seq", F.md5(normalised(F.col("line"))).alias("hash"))
-    first = wrote.groupBy("conv_id", "hash").agg(F.min("seq").alias("source"))
-    linked = said.join(first, ["conv_id", "hash"]).where("source < seq")
-    parents = linked.groupBy("conv_id", "seq").agg(F.min(F.struct("level", (-F.col("source")).alias("back"))).alias("p")).select("conv_id", "seq", (-F.col("p.back")).alias("linked"))
-
+    parents = _linked(messages)
     path = fresh_path(spark, "replies")
     ids = messages.select("conv_id", "seq", "turn").join(parents, ["conv_id", "seq"], "left")
     ids = ids.withColumn("parent_seq", F.coalesce("linked", F.when(F.col("seq") > 0, F.col("seq") - 1))).drop("linked")
