@@ -119,6 +119,14 @@ def test_op6_edges(spark, awkward, nothing):
     assert dartminhash.keep_one(nothing).count() == 0
 
 
+@pytest.mark.parametrize("repeats", [1, 2])
+def test_keep_one_keeps_one_of_an_id_with_several_near_texts(spark, repeats):
+    near = [" ".join(f"w{i}" for i in range(n)) for n in (60, 61, 62)]
+    rows = [(5, near[0]), (5, near[1]), (7, near[2]), (5, "another text of the same id"), (None, "lone a b c d e"), (None, "lone a b c d e")][: 4 + repeats]
+    kept = dartminhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((str(r["doc_id"]), r["text"] in near) for r in kept) == [("5", False), ("5", True), ("None", False)]
+
+
 def test_op6_query(spark, data):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
     assert shown(dartminhash.op6_near_duplicates(spark, data)) == sorted(brute_classes(rows), key=str)

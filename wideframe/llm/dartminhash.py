@@ -397,23 +397,23 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` that stay if each class keeps the row of its smallest id.
 
-    Rows with a null id stay only for a class without ids.  Of rows that repeat
-    the id and the text that stays, one stays.
+    Rows with a null id stay only for a class without ids.  Of several texts of
+    that id in a class the one of the smallest MD5 stays, and of rows that repeat
+    the id and the text that stays, one.
     """
     found = near_duplicates(docs, text, doc_id, **options)
     path = fresh_path(docs.sparkSession, "classes")
-    found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id", "tkey").agg(F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    own = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("label", "doc_id", "tkey").agg(F.count(F.lit(1)).alias("rows"))
+    own.groupBy("label").agg(F.min(F.struct("tkey", "doc_id", "rows")).alias("s")).select("s.*").write.parquet(path)
     stay = docs.sparkSession.read.parquet(path)
     stay = stay.select(F.col("doc_id").alias("stay_id"), F.col("tkey").alias("stay_key"), "rows")
     # the whole row as one column, so that no name can clash
     packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).cast("long").alias("own_id"), F.unhex(F.md5(F.coalesce(text, F.lit("")))).alias("own_key"))
     same = F.col("own_id").eqNullSafe(F.col("stay_id")) & (F.col("own_key") == F.col("stay_key"))
-    if not stay.where("stay_id is null or rows > 1").limit(1).count():
+    if not stay.where("rows > 1").limit(1).count():
         return packed.join(stay, same, "left_semi").select("row.*")
-    # a class of null ids, or repeated rows: one of several equal rows stays
-    classes = found.where("class_id is null").groupBy("tkey").agg(F.first("label").alias("group")).select(F.col("tkey").alias("lone_key"), "group")
-    named = packed.join(stay, same).join(classes, (F.col("stay_key") == F.col("lone_key")) & F.col("stay_id").isNull(), "left")
-    return named.withColumn("group", F.coalesce("group", "stay_key")).dropDuplicates(["stay_id", "group"]).select("row.*")
+    # repeated rows: one of several equal rows stays
+    return packed.join(stay, same).dropDuplicates(["stay_id", "stay_key"]).select("row.*")
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
