@@ -110,6 +110,12 @@ def test_op4_mixtures_find_both_languages():
     assert score[0] == pytest.approx(0.65, abs=0.05) and score[2] == pytest.approx(1)
 
 
+def test_op3_labelled_sites_are_not_of_the_tables(spark, data):
+    hosts = [r["url"].lower().split("/")[2].split(".") for r in spark.read.parquet(f"{data}/pages.parquet").select("url").collect() if (r["url"] or "").count("/") >= 2]
+    sites = {*urlfilter.ALLOWED_SITES, *urlfilter.BLOCKED_SITES}
+    assert len(sites) == 48 and not {part for host in hosts for part in host if part not in ("www", "com", "net", "org", "example")} & sites
+
+
 # operator 5 ------------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><body class="page"><header><h1>Site</h1><nav><a href=/>Home</a></nav></header>

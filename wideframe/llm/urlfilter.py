@@ -35,12 +35,12 @@ RULES = [
 
 #: Site names of the small labelled table.
 BLOCKED_SITES = [
-    "cheap-pills", "buy-meds-online", "pharmacy-deals", "casino-win", "mega-slots", "jackpot-poker", "free-bets", "sports-betting",
-    "ads-track", "adserver-click", "banner-ads", "spam-farm", "link-farm", "seo-backlinks", "adult-x", "adult-cams", "xxx-porn",
+    "discount-tablets", "buy-meds-online", "pharmacy-deals", "roulette-bonus", "mega-slots", "jackpot-poker", "bet-now", "sports-betting",
+    "tracking-pixel", "adserver-click", "banner-ads", "junk-mailer", "link-farm", "seo-backlinks", "adult-videos", "adult-cams", "xxx-porn",
     "payday-loans", "fast-credit", "replica-watches", "free-download-crack", "win-prizes", "crypto-profit", "miracle-diet",
 ]
 ALLOWED_SITES = [
-    "ththre", "therha", "tiontion", "ththan", "therou", "tionsh", "thertion", "tionble", "therst", "thonth", "news", "city-library",
+    "bookshop", "town-hall", "railway", "orchestra", "cycling-club", "botany", "history-society", "theatre", "kitchen-tips", "observatory", "news", "city-library",
     "university", "recipes", "python-project", "museum", "weather", "gardening", "encyclopedia", "health-service", "travel-notes",
     "linux-users", "research-institute", "school",
 ]
