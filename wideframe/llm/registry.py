@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import dartminhash, decontam, quotes, urlfilter
 from .bpe import op2_byte_bpe
 from .dartminhash import op6_near_duplicates
-from .decontam import ORACLE_SQL, op7_decontaminate
+from .decontam import op7_decontaminate
 from .htmlmain import op5_html_main_text
 from .imatch import op1_imatch
 from .langid import op4_language_id
@@ -34,4 +35,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_decontaminate": ORACLE_SQL}
+    return {
+        "op3_url_filter": urlfilter.oracle_sql(),
+        
+        "op7_decontaminate": decontam.ORACLE_SQL,
+        "op10_quotation_links": quotes.ORACLE_SQL,
+    }
