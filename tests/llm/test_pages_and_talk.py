@@ -1,5 +1,6 @@
 """Operators 3, 4, 5 and 10, and the pipeline."""
 
+import html.parser
 import itertools
 import math
 import random
@@ -171,6 +172,8 @@ def test_op5_page():
         ("<article><p>a < b &lt; c</p></article>", "a < b < c"), ("<article><script>x", ""), ("<article><p>x<!-- y", "x"),
         ("<article><h1>T</h1><header>By me today.</header><aside>No.</aside><p>Yes it is.</p><footer>No.</footer></article>", "T\n\nBy me today.\n\nYes it is."),
         ("<p>Some words of a page without any container at all.</p>", "Some words of a page without any container at all."),
+        ('<article><div class="article-header"><h1>A title</h1></div><p>Words of the text.</p></article>', "A title\n\nWords of the text."),
+        ("<article><p>One two three.</p><LABEL>Your name</LABEL><p class=legal>Four five six.</p><math>x</math></article>", "One two three.\n\nFour five six.\n\nx"),
         ("</div></p><article></b><p>stray</p></article>", "stray"), ("<article>" + "<div>" * 3000 + "Deep words.", "Deep words."),
     ],
 )
@@ -183,6 +186,76 @@ def test_op5_long_pages_take_linear_time():
     assert htmlmain.main_text(page).count("\n\n") == 3999
 
 
+def test_op5_odd_pages_take_linear_time():
+    for page in ("<a " * 200_000, "<article>" + "<label>x" * 100_000, "<article>" + "<div><p>a b</p></div>" * 3_000 + "<!--" * 100_000, "<article>" + "<div>" * 2_000 + "x" + "</div>y" * 2_000):
+        htmlmain.main_text(page)
+
+
+def test_op5_the_cut_moves_a_block_in_doubt():
+    """A line of links between paragraphs is content with its neighbours, and boilerplate by itself."""
+    line = "<p><a href=x>Alpha</a> <a href=y>Beta</a></p>"
+    words = "<p>Some words of a sentence that goes on for a while and ends here.</p>"
+    found, up, deep = htmlmain.blocks(f"<div>{words}{line}{words}</div>")
+    gain = htmlmain.gains(htmlmain.features(found), list(htmlmain.PRIOR.values()))
+    assert [g > 0 for g in gain] == [True, False, True]
+    assert htmlmain.minimum_cut(gain, htmlmain.graph(found, up, deep)) == [True] * 3
+    assert htmlmain.main_text(f"<div>{words}</div><div>{line}{line}</div>") == htmlmain.main_text(words)
+
+
+class Articles(html.parser.HTMLParser):
+    """Blocks of text inside article elements, by the library's parser."""
+
+    def __init__(self):
+        super().__init__()
+        self.inside, self.blocks = 0, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        self.blocks += [""] if tag in ("p", "h1", "article") else []
+        self.blocks[-1] += " " if tag == "br" else ""
+
+    def handle_endtag(self, tag):
+        self.inside -= tag == "article"
+        self.blocks += [""] if tag in ("p", "h1", "article") else []
+
+    def handle_data(self, data):
+        self.blocks[-1] += data if self.inside else ""
+
+
+def test_op5_query(spark, data):
+    pages = {r["page_id"]: r for r in spark.read.parquet(f"{data}/pages.parquet").collect()}
+    rows = htmlmain.op5_html_main_text(spark, data).collect()
+    assert len(rows) == len(pages)
+    weights = htmlmain.train(spark.read.parquet(f"{data}/pages.parquet"))
+    flips = {True: 0, False: 0}
+    for r in rows:
+        parser = Articles()
+        parser.feed(pages[r["page_id"]]["html"])
+        assert r["text"] == "\n\n".join(filter(None, (" ".join(b.split()) for b in parser.blocks))) and r["n_chars"] == len(r["text"]) and r["url"] == pages[r["page_id"]]["url"]
+        found, up, deep = htmlmain.blocks(pages[r["page_id"]]["html"])
+        edges = htmlmain.graph(found, up, deep)
+        for markup in (True, False):
+            gain = htmlmain.gains(htmlmain.features(found, markup), weights)
+            keep = htmlmain.minimum_cut(gain, edges)
+            flips[markup] += sum(k != (g > 0) for k, g in zip(keep, gain, strict=True))
+            if len(found) <= 14:
+                assert cut_cost(keep, gain, edges) == pytest.approx(min(cut_cost(side, gain, edges) for side in itertools.product([False, True], repeat=len(found))))
+    print("blocks that the cut moves, with and without article markup:", flips)
+
+
+def test_op5_weights(spark):
+    assert htmlmain.fit([], [], []) == list(htmlmain.PRIOR.values())
+    pages = spark.createDataFrame([(i, "<nav><a>x</a></nav><article><p>Some words.</p></article>") for i in range(5)] + [(9, None)], "page_id int, html string")
+    weights = dict(zip(htmlmain.PRIOR, htmlmain.train(pages), strict=True))
+    assert weights["boilerplate"] < htmlmain.PRIOR["boilerplate"] and weights["bad"] == pytest.approx(htmlmain.PRIOR["bad"])
+    assert htmlmain.train(pages.where("page_id > 5")) == list(htmlmain.PRIOR.values())
+
+
+def cut_cost(side, gain, edges):
+    lost = sum(g for g, s in zip(gain, side, strict=True) if g > 0 and not s) + sum(-g for g, s in zip(gain, side, strict=True) if g < 0 and s)
+    return lost + sum(c for i, j, c in edges if side[i] != side[j])
+
+
 def test_minimum_cut_equals_enumeration():
     rnd = random.Random(3)
     for _ in range(120):
@@ -190,12 +263,8 @@ def test_minimum_cut_equals_enumeration():
         gain = [rnd.choice([-3.0, -1.5, -0.5, 0.25, 1.0, 2.5]) + rnd.random() / 10 for _ in range(n)]
         edges = [(i, j, rnd.random() * 2) for i in range(n) for j in range(i + 1, n) if rnd.random() < 0.6]
 
-        def cost(side, gain=gain, edges=edges):
-            lost = sum(g for g, s in zip(gain, side, strict=True) if g > 0 and not s) + sum(-g for g, s in zip(gain, side, strict=True) if g < 0 and s)
-            return lost + sum(c for i, j, c in edges if side[i] != side[j])
-
-        best = min(itertools.product([False, True], repeat=n), key=cost)
-        assert cost(htmlmain.minimum_cut(gain, edges)) == pytest.approx(cost(best))
+        best = min(cut_cost(side, gain, edges) for side in itertools.product([False, True], repeat=n))
+        assert cut_cost(htmlmain.minimum_cut(gain, edges), gain, edges) == pytest.approx(best)
 
 
 def test_op5_rows(spark):

@@ -1,24 +1,31 @@
 """Operator 5 - main text of web pages by minimum-cut labelling.
 
-A page is cut into blocks of text.  A linear classifier over a block's ancestors,
-their class and id words, its link share, length and punctuation gives the cost
-of calling it content or boilerplate; these costs are the capacities from the
-source and to the sink.  Blocks that follow each other are joined by an edge that
-weakens with their distance in the document tree, and siblings by a further one.
-The minimum cut (maximum flow by shortest augmenting paths, level by level)
-parts content from boilerplate.
+A page is cut into blocks of text.  A logistic classifier over a block's ancestors,
+their class and id words, its link share, length and punctuation gives the log-odds
+that it is content; these are the capacities from the source and to the sink.
+Blocks that follow each other are joined by an edge that weakens with their
+distance in the document tree, and siblings by a further one.  The minimum cut
+(maximum flow by shortest augmenting paths, level by level) parts content from
+boilerplate, so a block about which the classifier is in doubt goes with those around it.
+
+The weights are fitted on a bounded sample of the pages (``SAMPLE_PAGES``), whose
+blocks are labelled by the pages' own ``article`` and ``main`` markup: content is what
+is inside and under no element of boilerplate.  Each page counts twice, once as it
+is and once as if it had no such markup, so that the other features are learned
+too.  Stated prior weights hold where the sample says nothing (``PRIOR_SHARE``); without
+any page to learn from they are the weights.
 
 Character references are decoded, white space within a block becomes one space,
 blocks are trimmed and joined in page order by two line feeds.  Scripts, styles,
 comments in the markup, form controls and hidden elements never become blocks.
 
 Scale: a map over pages, no shuffle; a page is handled by itself, in time about
-linear in its length.
+linear in its length.  Of the sample only counts of equal feature vectors are shuffled and collected.
 
 Edge cases: a null or empty page, or one without content, has an empty text.
 Unclosed and stray tags are closed or skipped; an unclosed script, style or
 comment runs to the end of the page.  Text without any markup is content.
-Repeated rows each get a row, null ids and urls too; other columns are not read.
+Very long pages are handled whole.  Repeated rows each get a row, null ids and urls too; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,10 +33,13 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ._text import map_batches, row_groups
 
@@ -38,7 +48,7 @@ _LOOSE = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""")
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
-RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes", "template", "svg", "math", "object", "canvas", "audio", "video", "select"}
+RAW = {"script", "style", "textarea", "title", "iframe", "xmp", "noembed", "noframes", "template", "svg", "canvas", "audio", "video", "select"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {
     "address", "article", "aside", "blockquote", "body", "button", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption",
@@ -50,53 +60,51 @@ CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr"
 #: Start tags that end an open paragraph.
 ENDS_P = BLOCK - {"html", "body", "head", "button", "caption", "tbody", "tfoot", "thead", "tr", "legend", "summary"}
 #: Elements whose text is never content.
-NEVER = {"head", "button", "form", "dialog", "datalist", "input", "label", "legend"}
+NEVER = {"head", "button", "form", "dialog", "datalist", "legend"}
+#: Elements of boilerplate (a header only outside of an article), and roles.
+BOILERPLATE = {"nav", "menu", "footer", "aside", "search"}
+ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "menu", "menubar", "dialog", "alert", "alertdialog", "form", "toolbar"}
 
-# Weights of the classifier: above 0 speaks for content.
-TAG_WEIGHT = {"article": 4.0, "main": 3.0, "nav": -8.0, "menu": -8.0, "footer": -8.0, "aside": -8.0, "header": -6.0, "search": -8.0, "blockquote": 0.5, "pre": 0.5, "figcaption": 0.5}
+#: Words of class names and ids that speak for content, against it, and weakly against it.
 GOOD_WORDS = {"article", "content", "post", "entry", "main", "story", "body", "text", "maincontent", "articlebody"}
-GOOD_WEIGHT = 1.5
 BAD_WORDS = {
-    "nav", "navbar", "navigation", "menu", "sidebar", "footer", "header", "masthead", "banner", "ad", "ads", "advert", "advertisement", "adsense", "sponsor", "sponsored",
-    "promo", "promotion", "cookie", "cookies", "consent", "gdpr", "notice", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "share", "sharing",
-    "social", "related", "recommended", "recommendations", "trending", "comment", "comments", "disqus", "reply", "replies", "breadcrumb", "breadcrumbs", "pagination", "pager",
-    "widget", "login", "signin", "signup", "register", "copyright", "legal", "disclaimer", "toolbar", "toc", "tags", "skip", "search", "sitemap", "respond", "discussion",
+    "nav", "navbar", "navigation", "menu", "sidebar", "footer", "ad", "ads", "advert", "advertisement", "adsense", "sponsor", "sponsored", "promo", "promotion", "cookie", "cookies",
+    "consent", "gdpr", "notice", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "share", "sharing", "social", "related", "recommended",
+    "recommendations", "trending", "comment", "comments", "disqus", "reply", "replies", "breadcrumb", "breadcrumbs", "pagination", "pager", "login", "signin", "signup", "copyright",
+    "toolbar", "sitemap", "respond",
 }
-BAD_WEIGHT = -8.0
-BAD_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "menu", "menubar", "dialog", "alert", "alertdialog", "form", "toolbar"}
-LINK_WEIGHT = -3.0
-OUTSIDE_WEIGHT = -2.5
-LENGTH_WEIGHT = 0.6
-STOP_WEIGHT = 0.7
-HEADING_WEIGHT = 0.5
-BIAS = -0.3
+WEAK_WORDS = {"header", "masthead", "banner", "disclaimer", "legal", "toc", "tags", "skip", "search", "register", "discussion", "widget"}
+
+#: Features of a block, and the prior of their weights, in log-odds.
+PRIOR = {"main": 3.0, "outside": -2.0, "boilerplate": -5.0, "bad": -5.0, "weak": -2.0, "good": 1.5, "stop": 0.7, "heading": 0.5, "links": -3.0, "length": 0.4, "bias": -0.5}
+FLAGS = ("main", "outside", "boilerplate", "bad", "weak", "good", "stop", "heading")
+#: Pages that the weights are fitted on, at most: those with the smallest hashes.
+SAMPLE_PAGES = 400
+#: Weight of the prior beside the mean loss of a block.
+PRIOR_SHARE = 0.01
 # Smoothness: between neighbours, divided by their distance in the tree, and between siblings.
-NEIGHBOUR = 1.0
-SIBLING = 0.8
+NEIGHBOUR = 1.5
+SIBLING = 1.0
 
 #: Page bytes handled at once.
 GROUP_BYTES = 4 << 20
 
 
 class Block:
-    __slots__ = ("depth", "heading", "inside", "links", "parent", "parts", "path", "size", "text", "weight")
+    __slots__ = ("depth", "flags", "heading", "links", "parent", "parts", "size", "text")
 
     def __init__(self, frame: tuple):
-        _, self.weight, _, self.inside, self.parent, self.depth, self.heading, self.path = frame
+        _, self.parent, self.depth, _, self.flags, self.heading = frame
         self.parts: list[str] = []
         self.links = self.size = 0
         self.text = ""
 
 
-def _weigh(tag: str, raw: str, frame: tuple) -> tuple[float, bool]:
-    """Weight that an element adds to its descendants, and whether it is hidden."""
-    weight = TAG_WEIGHT.get(tag, 0.0)
-    if tag == "header" and frame[3]:
-        weight = -0.5  # the header of an article holds its title
-    if not raw or raw.isspace():
-        return weight, False
-    hidden = False
-    words: set[str] = set()
+def _flags(tag: str, raw: str, above: frozenset) -> tuple[frozenset, bool]:
+    """Flags that hold within an element, and whether it is hidden."""
+    flags, hidden, words = set(above), False, set()
+    entered = tag in ("article", "main")
+    boilerplate = tag in BOILERPLATE or (tag == "header" and "main" not in above)
     for m in _ATTRIBUTE.finditer(raw):
         name = m[1].lower()
         value = m[2] or m[3] or m[4] or ""
@@ -104,33 +112,46 @@ def _weigh(tag: str, raw: str, frame: tuple) -> tuple[float, bool]:
             words.update(w.lower() for w in _WORD.findall(value))
         elif name == "role":
             role = value.strip().lower()
-            weight += BAD_WEIGHT if role in BAD_ROLES else TAG_WEIGHT["main"] if role in ("main", "article") else 0.0
+            boilerplate |= role in ROLES
+            entered |= role in ("main", "article")
         elif name == "itemprop" and value.lower() == "articlebody":
-            weight += TAG_WEIGHT["main"]
+            entered = True
         elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
             hidden = True
         elif name == "style":
             style = value.lower().replace(" ", "")
             hidden = hidden or "display:none" in style or "visibility:hidden" in style
-    if words & BAD_WORDS and tag not in ("html", "body", "article", "main"):
-        weight += BAD_WEIGHT
-    elif words & GOOD_WORDS:
-        weight += GOOD_WEIGHT
-    return weight, hidden
-
-
-def blocks(page: str) -> list[Block]:
-    """The page's blocks of text in order, with what their ancestors say."""
-    # a frame: tag, weight, never content, inside an article or main element, number, depth, heading, path of numbers
-    frames: list[tuple] = [("", 0.0, False, False, 0, 0, False, (0,))]
+    good = bool(words & GOOD_WORDS)
+    if good:
+        flags.add("good")
+    if tag not in ("html", "body", "article", "main"):
+        if words & BAD_WORDS and not good:
+            flags.add("bad")
+        elif words & (BAD_WORDS | WEAK_WORDS):
+            flags.add("weak")
+    if boilerplate:
+        flags.add("boilerplate")
+    if flags & {"bad", "boilerplate"}:
+        flags.discard("main")
+    elif entered:
+        flags.discard("weak")
+        flags.add("main")
+    return frozenset(flags), hidden
+
+
+def blocks(page: str) -> tuple[list[Block], list[int], list[int]]:
+    """The page's blocks of text in order, and the parent and depth of every element by number."""
+    # a frame: tag, number, depth, never content, flags, heading
+    frames: list[tuple] = [("", 0, 0, False, frozenset(), False)]
+    up, deep = [0], [0]
     opened: dict[str, int] = {}
     found: list[Block] = []
     current: Block | None = None
-    number, link, at, end = 0, 0, 0, len(page)
+    link, mute, at, end, last = 0, 0, 0, len(page), page.rfind(">")
 
     def text(a: int, b: int) -> None:
         nonlocal current
-        if a >= b or frames[-1][2]:
+        if a >= b or mute or frames[-1][3]:
             return
         part = page[a:b]
         if current is None:
@@ -144,14 +165,13 @@ def blocks(page: str) -> list[Block]:
             current.links += b - a
 
     def pop() -> None:
-        nonlocal link
+        nonlocal link, mute
         opened[frames.pop()[0]] -= 1
-        if link > len(frames):
-            link = 0
+        link, mute = (0 if k > len(frames) else k for k in (link, mute))
 
     while at < end:
         lt = page.find("<", at)
-        if lt < 0:
+        if lt < 0 or (lt > last and not page.startswith("<!--", lt)):  # no tag ends any more
             text(at, end)
             break
         m = _TAG.match(page, lt) or _LOOSE.match(page, lt)
@@ -176,12 +196,12 @@ def blocks(page: str) -> list[Block]:
         if tag == "a":
             link = 0 if closing else len(frames)
             continue
+        if tag == "label":
+            mute = 0 if closing else len(frames)
+            continue
         if tag not in BLOCK:
             if (tag in ("br", "td", "th", "img", "wbr") or tag == "option") and current is not None:
                 current.parts.append("" if tag == "wbr" else " ")
-            if tag == "label" and not closing:
-                close = page.find("</label", at)
-                at = close if close >= 0 else at
             continue
         current = None
         if closing:
@@ -196,41 +216,121 @@ def blocks(page: str) -> list[Block]:
             pop()
         if tag in VOID:
             continue
-        top = frames[-1]
-        weight, hidden = _weigh(tag, raw, top)
-        number += 1
+        above = frames[-1]
+        flags, hidden = _flags(tag, raw, above[4])
         heading = len(tag) == 2 and tag[0] == "h" and tag != "hr"
-        frames.append((tag, top[1] + weight, top[2] or hidden or tag in NEVER, top[3] or tag in ("article", "main") or weight >= 3.0, number, top[5] + 1, heading, (*top[7][-7:], number)))
+        frames.append((tag, len(up), above[2] + 1, above[3] or hidden or tag in NEVER, flags, heading))
+        up.append(above[1])
+        deep.append(above[2] + 1)
         opened[tag] = opened.get(tag, 0) + 1
     for b in found:
         joined = "".join(b.parts)
         b.text = " ".join((entities.unescape(joined) if "&" in joined else joined).split())
-    return [b for b in found if b.text]
+    return [b for b in found if b.text], up, deep
 
 
-def costs(found: list[Block]) -> list[float]:
-    """For each block, the gain of calling it content rather than boilerplate."""
-    has_main = any(b.inside and b.weight > 0 for b in found)
+def features(found: list[Block], markup: bool = True) -> list[int]:
+    """A code of each block's features: the flags, its link share in tenths, its length in powers of two.
+
+    Without ``markup`` the page counts as one without article or main elements.
+    """
+    has_main = markup and any("main" in b.flags for b in found)
     out = []
     for b in found:
-        value = BIAS + b.weight + LINK_WEIGHT * b.links / max(b.size, 1) + LENGTH_WEIGHT * math.log1p(b.text.count(" "))
+        own = set(b.flags)
+        if not markup:
+            own.discard("main")
+        elif has_main and "main" not in own:
+            own.add("outside")
         if b.text[-1] in ".!?…。！？\"”»:":
-            value += STOP_WEIGHT
+            own.add("stop")
         if b.heading:
-            value += HEADING_WEIGHT
-        if has_main and not b.inside:
-            value += OUTSIDE_WEIGHT
-        out.append(value)
+            own.add("heading")
+        code = sum(1 << i for i, name in enumerate(FLAGS) if name in own)
+        out.append(code | round(10 * b.links / max(b.size, 1)) << 8 | round(math.log2(1 + b.text.count(" "))) << 12)
     return out
 
 
-def _steps(a: Block, b: Block) -> int:
-    """Distance of two blocks' parents in the tree, over the last eight levels."""
-    if a.parent == b.parent:
-        return 0
-    up = set(a.path)
-    shared = next((k for k, n in enumerate(reversed(b.path)) if n in up), 8)
-    return max(1, shared + a.depth - (b.depth - shared))
+def _vectors(codes: list[int]) -> np.ndarray:
+    """Feature vectors of codes, in the order of ``PRIOR``."""
+    code = np.array(codes, np.int64)[:, None]
+    flags = (code >> np.arange(len(FLAGS))) & 1
+    return np.hstack([flags, (code >> 8 & 15) / 10, code >> 12, np.ones_like(code)]).astype(np.float64)
+
+
+def gains(codes: list[int], weights: list[float]) -> list[float]:
+    """For each block, the log-odds that it is content."""
+    return (_vectors(codes) @ np.array(weights)).tolist() if codes else []
+
+
+def _observed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(code, content, n) of the blocks of the pages that have article or main markup."""
+    seen: Counter = Counter()
+    for whole in batches:
+        for batch in row_groups(whole, 0, GROUP_BYTES):
+            for page in batch.column(0).to_pylist():
+                found, _, _ = blocks(page or "")
+                content = ["main" in b.flags for b in found]
+                if any(content):
+                    for markup in (True, False):
+                        seen.update(zip(features(found, markup), content, strict=True))
+    keys = sorted(seen)
+    yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.bool_()), pa.array([seen[k] for k in keys], pa.int64())], names=["code", "content", "n"])
+
+
+def fit(codes: list[int], content: list[bool], n: list[int]) -> list[float]:
+    """Weights of least mean loss and distance from the prior, by Newton's method."""
+    prior = np.array(list(PRIOR.values()))
+    if not codes:
+        return prior.tolist()
+    x, y, c, w = _vectors(codes), np.array(content, np.float64), np.array(n, np.float64) / sum(n), prior.copy()
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-(x @ w)))
+        slope = x.T @ (c * (p - y)) + PRIOR_SHARE * (w - prior)
+        curve = (x.T * (c * p * (1 - p))) @ x + PRIOR_SHARE * np.eye(len(w))
+        step = np.linalg.solve(curve, slope)
+        w -= step
+        if np.abs(step).max() < 1e-9:
+            break
+    return w.tolist()
+
+
+def train(pages: DataFrame, html: str = "html", sample: int = SAMPLE_PAGES) -> list[float]:
+    """Weights fitted on at most ``sample`` distinct pages."""
+    own = pages.select(F.col(html).alias("page")).where("page is not null").withColumn("h", F.xxhash64("page"))
+    last = own.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h").alias("h")).first()["h"]  # a top-k of hashes
+    if last is None:
+        return fit([], [], [])
+    chosen = own.where(F.col("h") <= last).groupBy("h").agg(F.first("page").alias("page"))
+    seen = map_batches(chosen.select("page"), _observed, "code bigint, content boolean, n bigint").groupBy("code", "content").agg(F.sum("n").alias("n"))
+    rows = sorted(tuple(r) for r in seen.collect())  # bounded: the codes are flags, tenths and powers of two
+    return fit(*map(list, zip(*rows, strict=True))) if rows else fit([], [], [])
+
+
+def _steps(a: int, b: int, up: list[int], deep: list[int]) -> int:
+    """Distance of two elements in the tree."""
+    steps = 0
+    while a != b:
+        if deep[a] >= deep[b]:
+            a = up[a]
+        else:
+            b = up[b]
+        steps += 1
+    return steps
+
+
+def graph(found: list[Block], up: list[int], deep: list[int]) -> list[tuple[int, int, float]]:
+    """Edges between blocks: (block, block, cost of parting them)."""
+    edges: list[tuple[int, int, float]] = []
+    last: dict[int, int] = {}
+    for i, b in enumerate(found):
+        if i:
+            edges.append((i - 1, i, NEIGHBOUR / (1 + _steps(found[i - 1].parent, b.parent, up, deep))))
+        group = up[b.parent]
+        if group in last:
+            edges.append((last[group], i, SIBLING))
+        last[group] = i
+    return edges
 
 
 def minimum_cut(gain: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -294,31 +394,22 @@ def minimum_cut(gain: list[float], edges: list[tuple[int, int, float]]) -> list[
     return [not s for s in sink]
 
 
-def main_text(page: str | None) -> str:
-    """Main text of a page."""
-    found = blocks(page or "")
+def main_text(page: str | None, weights: list[float] | None = None) -> str:
+    """Main text of a page; without weights, by the prior."""
+    found, up, deep = blocks(page or "")
     if not found:
         return ""
-    edges: list[tuple[int, int, float]] = []
-    last: dict[int, int] = {}
-    for i, b in enumerate(found):
-        if i:
-            edges.append((i - 1, i, NEIGHBOUR / (1 + _steps(found[i - 1], b))))
-        group = b.path[-2] if len(b.path) > 1 else 0
-        if group in last:
-            edges.append((last[group], i, SIBLING))
-        last[group] = i
     if len(found) == 1 and not found[0].depth:
         return found[0].text
-    keep = minimum_cut(costs(found), edges)
+    keep = minimum_cut(gains(features(found), weights or list(PRIOR.values())), graph(found, up, deep))
     return "\n\n".join(b.text for b, k in zip(found, keep, strict=True) if k)
 
 
-def _extract(carried: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _extract(weights: list[float], carried: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in row_groups(whole, 0, GROUP_BYTES):
-                texts = [main_text(p) for p in batch.column(0).to_pylist()]
+                texts = [main_text(p, weights) for p in batch.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(i + 1) for i in range(carried)), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                     names=[*(f"c{i}" for i in range(carried)), "text", "n_chars"],
@@ -327,14 +418,15 @@ def _extract(carried: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     return run
 
 
-def extract(pages: DataFrame, carry: list[str], html: str = "html") -> DataFrame:
+def extract(pages: DataFrame, carry: list[str], html: str = "html", weights: list[float] | None = None) -> DataFrame:
     """Columns ``carry`` of every page with its main ``text`` and ``n_chars``."""
     own = pages.selectExpr(f"`{html}` as h", *[f"`{c}` as c{i}" for i, c in enumerate(carry)])
     kept = "".join(f"c{i} {pages.schema[c].dataType.simpleString()}, " for i, c in enumerate(carry))
-    out = map_batches(own, _extract(len(carry)), f"{kept}text string, n_chars bigint")
+    out = map_batches(own, _extract(weights or list(PRIOR.values()), len(carry)), f"{kept}text string, n_chars bigint")
     return out.selectExpr(*[f"c{i} as `{c}`" for i, c in enumerate(carry)], "text", "n_chars")
 
 
 def op5_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Main text of every page."""
-    return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"), ["page_id", "url"])
+    """Main text of every page, by weights fitted on a sample of them."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return extract(pages, ["page_id", "url"], weights=train(pages))
