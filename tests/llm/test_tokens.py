@@ -41,6 +41,30 @@ def test_transducer_equals_merging_by_rank(ranks, library):
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == library.encode_ordinary(text)
 
 
+def test_tokens_are_emitted_after_a_bounded_lookahead(ranks, library):
+    t = bpe.Transducer(ranks)
+    rnd = random.Random(8)
+    for piece in ["a" * 100_000, "the" * 20_000, " " * 50_000, "".join(rnd.choice("etaoinshr") for _ in range(50_000)), "=-" * 30_000, "ä世" * 9_000]:
+        assert t.encode(piece.encode()) == library._core_bpe.encode_single_piece(piece.encode())
+        assert t.longest < t.most_pending <= 3 * t.longest
+    assert len(t.encode(b"a" * 1_000_000)) > 0 and t.most_pending <= 3 * t.longest
+
+
+def test_readings_of_any_vocabulary_meet(ranks):
+    """Emission changes no ids, also for small vocabularies with many open readings."""
+    rnd = random.Random(12)
+    for _ in range(60):
+        own = {bytes([c]): i for i, c in enumerate(b"abc")}
+        while len(own) < rnd.randrange(5, 30):  # each entry joins two earlier ones
+            pair = b"".join(rnd.sample(list(own), 2)) if rnd.random() < 0.7 else rnd.choice(list(own)) * 2
+            if len(pair) <= 9:
+                own.setdefault(pair, len(own))
+        t = bpe.Transducer(own)
+        for _ in range(5):
+            piece = bytes(rnd.choice(b"aaabc") for _ in range(300))
+            assert t.encode(piece) == [own[p] for p in t.merge(piece)]
+
+
 def test_small_caches_change_nothing(ranks, library, monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_STEPS", 20)
     monkeypatch.setattr(bpe, "CACHE_PAIRS", 20)
@@ -73,6 +97,15 @@ def test_machine_equals_decoding_at_once(raw):
     assert "".join(machine.feed(raw[i : i + 1]) for i in range(len(raw))) + machine.feed(b"", True) == raw.decode("utf-8", "replace")
 
 
+def test_machine_equals_decoding_of_random_bytes():
+    rnd = random.Random(4)
+    for _ in range(3000):
+        raw = bytes(rnd.choice([rnd.randrange(256), rnd.randrange(0x80, 0xC0), rnd.choice([0xE0, 0xED, 0xF0, 0xF4, 0xC3])]) for _ in range(rnd.randrange(9)))
+        machine, cut = bpe.Utf8Machine(), rnd.randrange(9)
+        assert machine.feed(raw[:cut]) + machine.feed(raw[cut:], True) == raw.decode("utf-8", "replace")
+    assert machine.held == (0, 0)
+
+
 def test_op2_rows(spark, awkward, nothing, library):
     rows = bpe.encode(awkward, ["doc_id"]).collect()
     assert sorted((r["n_tokens"], r["ids"]) for r in rows) == sorted((len(i), i) for i in (library.encode_ordinary(t or "") for _, t, _ in TEXTS))

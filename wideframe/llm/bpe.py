@@ -6,13 +6,18 @@ have started, each a node of the vocabulary's prefix tree.  The set of open
 nodes is one state of the transducer; states and transitions are made when first
 needed and remembered, and there are no more states than nodes.  A transition
 tells which tokens can end at its byte, longest first; the one that may follow
-the token before it does.  No reading stays open for longer than the longest
-vocabulary entry, and as soon as none is open the tokens so far are emitted.  Two
-tokens may stand side by side if merging their joined bytes by rank gives just
-them, which makes the reading of each prefix unique and equal to merging by rank.
+the token before it does.  Two tokens may stand side by side if merging their joined
+bytes by rank gives just them, which makes the reading of each prefix unique and
+equal to merging by rank.
 
-Decoding streams: an incremental UTF-8 state machine holds the bytes of an
-unfinished character, and its steps on whole tokens are remembered.
+Tokens are emitted after a bounded lookahead: whatever follows, the encoding
+passes one of the boundaries where an open reading starts, so the tokens before
+the place where the readings of all these boundaries meet are final.  They are
+emitted at once when no node is open, and else each time that as many bytes are
+pending as the longest vocabulary entry has.
+
+Decoding streams: a table of states and bytes reads UTF-8 incrementally, holding the
+state and the bits of an unfinished character; its steps on whole tokens are remembered.
 
 Scale: a map without shuffle; the vocabulary (about 1 MB) is broadcast; states
 and pieces remembered by a worker are bounded and only save time.
@@ -62,6 +67,7 @@ class Transducer:
         self.ranks = ranks
         self.token = {i: b for b, i in ranks.items()}
         self.length = {i: len(b) for b, i in ranks.items()}
+        self.longest = max(self.length.values(), default=1)
         # the prefix tree, by node and byte (node << 8 | byte): the next node if tokens go on from it, the token that ends there
         self.moves: dict[int, int] = {}
         self.ends: dict[int, int] = {}
@@ -69,6 +75,8 @@ class Transducer:
         # by token: whether it may follow each token that was asked for
         self.after: dict[int, dict[int, bool]] = {}
         self.pairs = 0
+        #: bytes that were pending at once, at most, in pieces longer than the longest entry
+        self.most_pending = 0
         for piece, rank in ranks.items():
             node = 0
             for byte in piece[:-1]:
@@ -80,6 +88,7 @@ class Transducer:
         # a state is named by its open nodes, longest first, and holds its transitions by byte
         self.states: dict[tuple[int, ...], dict] = {(): {}}
         self.names: dict[int, tuple[int, ...]] = {id(self.states[()]): ()}
+        self.depths: dict[int, tuple[int, ...]] = {id(self.states[()]): ()}
         self.known_steps = 0
 
     def merge(self, piece: bytes, parts_left: int = 1) -> list[bytes]:
@@ -140,6 +149,7 @@ class Transducer:
         if after is None:
             after = self.states[name] = {}
             self.names[id(after)] = name
+            self.depths[id(after)] = tuple(d + 1 for x, d in zip(at, (*self.depths[id(state)], 0), strict=True) if x in self.moves)
         ended = [self.ends[x] for x in at if x in self.ends]
         step = state[byte] = after, tuple((t, self.length[t], self.after.setdefault(t, {})) for t in ended if self.split(t) != (-1, -1))
         self.known_steps += 1
@@ -152,7 +162,7 @@ class Transducer:
         if self.known_steps > CACHE_STEPS:
             self._forget()
         start, ids = self.states[()], []
-        state, last = start, [-1]  # last: the token that ends at each boundary since the last emission
+        state, last, full = start, [-1], self.longest  # last: the token that ends at each boundary since the last emission
         for byte in piece:
             step = state.get(byte) or self._step(state, byte)
             state, ended = step
@@ -164,18 +174,32 @@ class Transducer:
                 raise ValueError("the vocabulary does not cover every byte")
             last.append(token)
             if state is start:
-                self._emit(last, ids)
-        self._emit(last, ids)
+                self._emit(last, ids, len(last) - 1)
+            elif len(last) > full:
+                self._emit(last, ids, self._met(last, self.depths[id(state)]))
+                full = len(last) + self.longest
+                self.most_pending = max(self.most_pending, full)
+        self._emit(last, ids, len(last) - 1)
         return ids
 
-    def _emit(self, pending: list[int], ids: list[int]) -> None:
-        """Moves the one reading that ends here from the tokens that end at each boundary to ids."""
-        at, out = len(pending), []
-        while at > 1:
-            out.append(pending[at - 1])
+    def _met(self, pending: list[int], depths: tuple[int, ...]) -> int:
+        """The last boundary that the readings of all open boundaries pass."""
+        top = len(pending) - 1
+        open_at = {top, *(top - d for d in depths)}
+        while len(open_at) > 1:
+            last = max(open_at)
+            open_at.remove(last)
+            open_at.add(last - self.length[pending[last]])
+        return open_at.pop()
+
+    def _emit(self, pending: list[int], ids: list[int], upto: int) -> None:
+        """Moves the one reading that ends at a boundary from the tokens that end at each boundary to ids."""
+        at, out = upto, []
+        while at > 0:
+            out.append(pending[at])
             at -= self.length[out[-1]]
         ids += reversed(out)
-        del pending[:-1]
+        del pending[:upto]
 
 
 class Pieces(dict):
@@ -211,40 +235,59 @@ class Encoder:
         return b"".join(map(self.pieces.__getitem__, self.split(text)))
 
 
+#: Moves of the UTF-8 machine: for each state, ranges of bytes and the state after them; any other byte is refused.
+#: ``start`` is between characters, ``one`` to ``three`` await so many bytes, the others have a narrower next byte.
+_UTF8 = {
+    "start": [(0x00, 0x7F, "start"), (0xC2, 0xDF, "one"), (0xE0, 0xE0, "e0"), (0xE1, 0xEC, "two"), (0xED, 0xED, "ed"), (0xEE, 0xEF, "two"), (0xF0, 0xF0, "f0"), (0xF1, 0xF3, "three"), (0xF4, 0xF4, "f4")],
+    "one": [(0x80, 0xBF, "start")],
+    "two": [(0x80, 0xBF, "one")],
+    "three": [(0x80, 0xBF, "two")],
+    "e0": [(0xA0, 0xBF, "one")],
+    "ed": [(0x80, 0x9F, "one")],
+    "f0": [(0x90, 0xBF, "two")],
+    "f4": [(0x80, 0x8F, "two")],
+}
+_START, _REFUSED = 0, 255
+_NEXT = bytearray([_REFUSED]) * (len(_UTF8) << 8)
+for _i, _ranges in enumerate(_UTF8.values()):
+    for _low, _high, _to in _ranges:
+        _NEXT[_i << 8 | _low : (_i << 8 | _high) + 1] = bytes([list(_UTF8).index(_to)]) * (_high - _low + 1)
+
+
 class Utf8Machine:
-    """Incremental UTF-8 decoding of bytes that come in any cuts.
+    """Incremental UTF-8 decoding of bytes that come in any cuts, by the table of moves.
 
     Bytes that can't continue or start a character become U+FFFD, one for each
     unfinished character, as Python's ``errors="replace"`` does.
     """
 
     def __init__(self):
-        self.held = b""
+        #: State, and the bits read of an unfinished character.
+        self.held = (_START, 0)
 
     def feed(self, data: bytes, final: bool = False) -> str:
-        data = self.held + data
-        keep = 0
-        if not final:
-            for back in range(1, min(3, len(data)) + 1):
-                byte = data[-back]
-                if byte < 0x80:
-                    break
-                if byte >= 0xC2:
-                    need = 2 if byte < 0xE0 else 3 if byte < 0xF0 else 4 if byte < 0xF5 else 1
-                    if need > back and self._may_go_on(data[-back:]):
-                        keep = back
-                    break
-        self.held = data[len(data) - keep :]
-        return data[: len(data) - keep].decode("utf-8", "replace")
-
-    @staticmethod
-    def _may_go_on(part: bytes) -> bool:
-        if len(part) < 2:
-            return True
-        lead, second = part[0], part[1]
-        low = 0xA0 if lead == 0xE0 else 0x90 if lead == 0xF0 else 0x80
-        high = 0x9F if lead == 0xED else 0x8F if lead == 0xF4 else 0xBF
-        return low <= second <= high and all(0x80 <= b <= 0xBF for b in part[2:])
+        (state, code), out = self.held, []
+        for byte in data:
+            to = _NEXT[state << 8 | byte]
+            if to == _REFUSED and state != _START:  # the unfinished character ends, the byte is read again
+                out.append("\ufffd")
+                state = _START
+                to = _NEXT[byte]
+            if to == _REFUSED:
+                out.append("\ufffd")
+                continue
+            if state != _START:
+                code = code << 6 | byte & 0x3F
+            else:
+                code = byte if byte < 0x80 else byte & (0x1F if byte < 0xE0 else 0x0F if byte < 0xF0 else 0x07)
+            if to == _START:
+                out.append(chr(code))
+            state = to
+        if final and state != _START:
+            out.append("\ufffd")
+            state = _START
+        self.held = (state, code if state != _START else 0)
+        return "".join(out)
 
 
 class StreamDecoder:
@@ -254,7 +297,7 @@ class StreamDecoder:
         self.token = token
         self.machine = Utf8Machine()
         self.whole: dict[int, str] = {}
-        self.moves: dict[tuple[bytes, int], tuple[bytes, str]] = {}
+        self.moves: dict[tuple[tuple[int, int], int], tuple[tuple[int, int], str]] = {}
         for i, b in token.items():
             try:
                 self.whole[i] = b.decode()
@@ -263,7 +306,7 @@ class StreamDecoder:
 
     def feed(self, ids: list[int]) -> str:
         machine = self.machine
-        if not machine.held:
+        if machine.held[0] == _START:
             try:
                 return "".join(map(self.whole.__getitem__, ids))
             except KeyError:
@@ -271,7 +314,7 @@ class StreamDecoder:
         out = []
         whole, moves = self.whole, self.moves
         for i in ids:
-            if not machine.held and i in whole:
+            if machine.held[0] == _START and i in whole:
                 out.append(whole[i])
                 continue
             key = (machine.held, i)
