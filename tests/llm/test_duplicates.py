@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -218,15 +219,33 @@ def test_op7_cuts_spans_and_edges(spark, awkward, nothing):
     assert many[8] == 3 * 4000
 
 
+def test_op7_a_large_benchmark_takes_few_bytes_a_byte():
+    """A full block of 32 MB: its arrays as they are broadcast, and the peak while they are made."""
+    rnd = random.Random(5)
+    common = [f"w{i}" for i in range(20_000)]
+    items = [(str(i), " ".join(rnd.choices(common, k=400))) for i in range(14_000)]
+    size = sum(len(t) for _, t in items)
+    assert size >= 32 << 20
+    tracemalloc.start()
+    phrases = decontam.Phrases(items)
+    held, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    print("bytes a byte: held", held / size, "peak", peak / size)
+    assert held < 5 * size and peak < 10 * size
+    text = "some words before " + " ".join(items[77][1].split()[20:31]) + " and after"
+    data, offsets = text_buffer(pa.array([text]))
+    hashes, starts, _ = words(data, offsets)
+    at, window = decontam.find(phrases, hashes, word_bounds(starts, offsets))
+    assert sorted(at.tolist()) == [3, 4] and {o for w in window.tolist() for o in phrases.owners(w)} == {"77"}
+
+
 def test_index_against_plain_search():
     rnd = random.Random(1)
     text = np.array([rnd.choice([0, 1, 2, 3]) for _ in range(400)] + [1, 2] * 60 + [0], np.int64)
     index = decontam.FMIndex(text, sample=5)
     patterns = [tuple(rnd.choice([1, 2, 3]) for _ in range(rnd.randrange(1, 6))) for _ in range(60)]
-    matrix = np.zeros((60, 5), np.int64)
-    for i, p in enumerate(patterns):
-        matrix[i, : len(p)] = p
-    low, high = index.search(matrix, np.array([len(p) for p in patterns]))
+    lengths = np.array([len(p) for p in patterns])
+    low, high = index.search(np.concatenate([np.array(p) for p in patterns]), np.cumsum(lengths) - lengths, lengths)
     for p, a, b in zip(patterns, low.tolist(), high.tolist(), strict=True):
         want = [i for i in range(len(text) - len(p) + 1) if tuple(text[i : i + len(p)]) == p]
         assert sorted(index.locate(np.arange(a, max(a, b))).tolist()) == want

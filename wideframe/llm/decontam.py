@@ -13,8 +13,10 @@ Words outside the benchmark vocabulary can be in no window, nor can a run of
 vocabulary words shorter than the shortest window; both are left out of the
 index, which changes no result.  Nothing is shuffled.
 
-Scale: the benchmark is broadcast in blocks of at most ``BLOCK_BYTES`` of text;
-a larger benchmark is searched in several passes over the same rows.
+Scale: the benchmark is read in blocks of at most ``BLOCK_BYTES`` of text, one at a
+time; a block is broadcast as arrays (a few bytes for each byte of its text) and
+dropped before the next one is read.  A benchmark of several blocks is searched in as many passes over
+the documents, each pass written to the shared folder; one item of more bytes is a block of its own.
 
 Edge cases: a null or empty text has no words and is never contaminated.  Null
 and wordless benchmark items have no window.  Equal item ids count once; an item
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._text import map_batches, row_groups, text_buffer, word_bounds, words
+from ._text import fresh_path, map_batches, mix64, row_groups, text_buffer, word_bounds, words
 
 #: Words in a window.
 WIDTH = 10
@@ -40,33 +42,61 @@ WIDTH = 10
 SHARD_BYTES = 4 << 20
 #: Benchmark text bytes that are broadcast at once.
 BLOCK_BYTES = 32 << 20
+#: Phrases that are searched at once.
+PHRASES = 1 << 18
 #: One suffix position of so many is kept for locating.
 SAMPLE = 8
 
 
 class Phrases:
-    """The windows of a block of benchmark items over their own vocabulary."""
+    """The windows of a block of benchmark items over their own vocabulary, as arrays.
+
+    ``text`` holds the items' words as symbols, one after the other; a window is
+    a place in it (``first``) and a length.  Equal windows are one; the items of
+    window w are ``items[k]`` for k in ``owner[owner_at[w] : owner_at[w + 1]]``.
+    """
 
     def __init__(self, items: list[tuple[str, str]], width: int = WIDTH):
-        texts = pa.array([t or "" for _, t in items], pa.string())
-        data, offsets = text_buffer(texts)
-        hashes, starts, _ = words(data, offsets)
-        bounds = word_bounds(starts, offsets)
-        self.vocabulary = np.unique(hashes)
-        symbols = (np.searchsorted(self.vocabulary, hashes) + 1).astype(np.int64)
-        owners: dict[tuple[int, ...], set[str]] = {}
-        for i, (item, _) in enumerate(items):
-            own = symbols[bounds[i] : bounds[i + 1]].tolist()
-            n = min(width, len(own))
-            for k in range(len(own) - n + 1 if n else 0):
-                owners.setdefault(tuple(own[k : k + n]), set()).add(item)
-        self.windows = sorted(owners, key=lambda w: (len(w), w))
-        self.owners = [sorted(owners[w]) for w in self.windows]
-        self.lengths = np.array([len(w) for w in self.windows], np.int64)
-        self.matrix = np.zeros((len(self.windows), max(self.lengths, default=0)), np.int64)
-        for i, w in enumerate(self.windows):
-            self.matrix[i, : len(w)] = w
-        self.shortest = int(self.lengths.min()) if len(self.windows) else 0
+        hashes, counts = [], []
+        for at in range(0, len(items), 1 << 10):
+            data, offsets = text_buffer(pa.array([t or "" for _, t in items[at : at + (1 << 10)]], pa.string()))
+            h, starts, _ = words(data, offsets)
+            hashes.append(h)
+            counts.append(np.diff(word_bounds(starts, offsets)))
+        size = np.concatenate(counts) if counts else np.zeros(0, np.int64)
+        hashed = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        del hashes
+        self.vocabulary = np.unique(hashed)
+        self.text = (np.searchsorted(self.vocabulary, hashed) + 1).astype(np.int32)
+        del hashed
+        self.items, number = np.unique(np.array([i for i, _ in items], object), return_inverse=True) if items else (np.zeros(0, object), np.zeros(0, np.int64))
+        length = np.minimum(size, width)
+        count = np.where(size > 0, size - length + 1, 0)
+        doc = np.repeat(np.arange(len(size), dtype=np.int32), count)
+        first = np.arange(len(doc), dtype=np.int32) + np.repeat((np.cumsum(size) - size - (np.cumsum(count) - count)).astype(np.int32), count)
+        length = length[doc].astype(np.int32)
+        mark = np.zeros(len(first), np.uint64)
+        for at in range(0, len(first), PHRASES):  # in runs, as each needs a few arrays of its own
+            own, own_first, own_length = mark[at : at + PHRASES], first[at : at + PHRASES], length[at : at + PHRASES]
+            for k in range(width):
+                here = np.flatnonzero(own_length > k)
+                own[here] = mix64(own[here] * np.uint64(3) + self.text[own_first[here] + k].astype(np.uint64))
+        order = np.argsort(mark, kind="stable").astype(np.int32)
+        mark = mark[order]
+        fresh = np.ones(len(order), bool)
+        np.not_equal(mark[1:], mark[:-1], out=fresh[1:])
+        del mark
+        self.first, self.lengths = first[order[fresh]], length[order[fresh]]
+        del first, length
+        pairs = np.cumsum(fresh, dtype=np.int64) - 1
+        pairs *= max(len(self.items), 1)
+        pairs += number.astype(np.int32)[doc[order]]
+        del order, doc, fresh
+        pairs.sort()
+        pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])] if len(pairs) else pairs  # each item once for each window
+        self.owner_at = np.searchsorted(pairs, np.arange(len(self.first) + 1) * max(len(self.items), 1)).astype(np.int64)
+        self.owner = (pairs % max(len(self.items), 1)).astype(np.int32)
+        self.shortest = int(self.lengths.min()) if len(self.lengths) else 0
 
     def symbols(self, hashes: np.ndarray) -> np.ndarray:
         """Vocabulary number of each word, 0 for a word of no item."""
@@ -75,6 +105,10 @@ class Phrases:
         at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
         return np.where(self.vocabulary[at] == hashes, at + 1, 0)
 
+    def owners(self, window: int) -> list[str]:
+        """Items of a window."""
+        return self.items[self.owner[self.owner_at[window] : self.owner_at[window + 1]]].tolist()
+
 
 def suffix_array(ranks: np.ndarray) -> np.ndarray:
     """Order of all suffixes by prefix doubling; only tied suffixes are sorted again."""
@@ -148,17 +182,17 @@ class FMIndex:
     def step(self, symbol: np.ndarray, row: np.ndarray) -> np.ndarray:
         return self.first[symbol] + self.tree.rank(symbol, row)
 
-    def search(self, matrix: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First row and end row of the suffixes that begin with each phrase."""
+    def search(self, text: np.ndarray, first: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First row and end row of the suffixes that begin with each phrase ``text[first : first + length]``."""
         known = len(self.first) - 2
-        low = np.zeros(len(matrix), np.int64)
-        high = np.full(len(matrix), len(self.bwt), np.int64)
-        alive = (matrix <= known).all(axis=1)
-        high[~alive] = 0
-        for k in range(matrix.shape[1] - 1, -1, -1):
+        low = np.zeros(len(first), np.int64)
+        high = np.full(len(first), len(self.bwt), np.int64)
+        for k in range(int(lengths.max(initial=0)) - 1, -1, -1):
             at = np.flatnonzero((lengths > k) & (low < high))
+            symbol = text[first[at] + k].astype(np.int64)
+            high[at[symbol > known]] = 0
+            at, symbol = at[symbol <= known], symbol[symbol <= known]
             if len(at):
-                symbol = matrix[at, k]
                 low[at], high[at] = self.step(symbol, low[at]), self.step(symbol, high[at])
         return low, high
 
@@ -202,14 +236,16 @@ def find(phrases: Phrases, hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.n
     word = np.zeros(len(text), np.int64)
     word[place] = kept
     index = FMIndex(text)
-    low, high = index.search(phrases.matrix, phrases.lengths)
-    count = high - low
-    hit = np.flatnonzero(count > 0)
-    if not len(hit):
-        return none
-    window = np.repeat(hit, count[hit])
-    row = np.repeat(low[hit], count[hit]) + np.arange(len(window)) - np.repeat(np.cumsum(count[hit]) - count[hit], count[hit])
-    return word[index.locate(row)], window
+    places, windows = [], []
+    for part in range(0, len(phrases.first), PHRASES):
+        own = slice(part, part + PHRASES)
+        low, high = index.search(phrases.text, phrases.first[own], phrases.lengths[own])
+        count = np.maximum(high - low, 0)
+        hit = np.flatnonzero(count > 0)
+        windows.append(np.repeat(hit, count[hit]) + part)
+        row = np.repeat(low[hit], count[hit]) + np.arange(len(windows[-1])) - np.repeat(np.cumsum(count[hit]) - count[hit], count[hit])
+        places.append(index.locate(row))
+    return word[np.concatenate(places)], np.concatenate(windows)
 
 
 def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -243,7 +279,7 @@ def _searcher(shared, last: bool, cut: bool, carried: int) -> Callable[[Iterator
                 items = [set(v) for v in batch.column(carried + 3).to_pylist()]
                 for d, first, w in zip(doc.tolist(), (at - bounds[doc]).tolist(), window.tolist(), strict=True):
                     spans[d].append((first, first + int(phrases.lengths[w])))
-                    items[d].update(phrases.owners[w])
+                    items[d].update(phrases.owners(w))
                 spans = [_merge(v) if v else v for v in spans]
                 out = [batch.column(i) for i in range(carried + 1)]
                 out += [
@@ -275,17 +311,18 @@ def _searcher(shared, last: bool, cut: bool, carried: int) -> Callable[[Iterator
     return run
 
 
-def _blocks(benchmark: DataFrame, text: str, item: str, limit: int) -> list[list[tuple[str, str]]]:
-    """The benchmark in blocks of bounded size."""
-    blocks: list[list[tuple[str, str]]] = [[]]
+def _blocks(benchmark: DataFrame, text: str, item: str, limit: int) -> Iterator[list[tuple[str, str]]]:
+    """The benchmark in blocks of bounded size, at least one."""
+    block: list[tuple[str, str]] = []
     size = 0
-    for row in benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t")).where("t is not null").toLocalIterator():
-        if blocks[-1] and size + len(row["t"]) > limit:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((row["i"] or "", row["t"]))
-        size += len(row["t"])
-    return blocks
+    own = benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t"), F.octet_length(text).alias("n")).where("t is not null")
+    for row in own.toLocalIterator():
+        if block and size + row["n"] > limit:
+            yield block
+            block, size = [], 0
+        block.append((row["i"] or "", row["t"]))
+        size += row["n"]
+    yield block
 
 
 def search(docs: DataFrame, benchmark: DataFrame, carry: list[str], text: str = "text", item: str = "item_id", item_text: str = "text", width: int = WIDTH, cut: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -301,17 +338,25 @@ def search(docs: DataFrame, benchmark: DataFrame, carry: list[str], text: str =
         F.col(text).alias("cleaned"), *carried, F.lit(0).cast("long").alias("n_words"),
         F.array().cast("array<struct<first:bigint,last:bigint>>").alias("spans"), F.array().cast("array<string>").alias("items"),
     )
-    blocks = _blocks(benchmark, item_text, item, block_bytes)
     kept = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
     head = "cleaned string" + (", " + kept if kept else "")
-    for k, block in enumerate(blocks):
-        last = k == len(blocks) - 1
+    blocks = _blocks(benchmark, item_text, item, block_bytes)
+    block = next(blocks)
+    while block is not None:
+        following = next(blocks, None)
+        last = following is None
         shared = spark.sparkContext.broadcast(Phrases(block, width))
         if last:
             schema = (head if cut else kept) + ", n_words bigint, spans array<struct<start:bigint,end:bigint>>, items array<string>, n_hit bigint, items_sha256 string"
         else:
             schema = head + ", n_words bigint, spans array<struct<first:bigint,last:bigint>>, items array<string>"
         out = map_batches(out, _searcher(shared, last, cut, len(carry)), schema.lstrip(", "))
+        if not last:  # a pass of its own, so that one block at a time is held
+            path = fresh_path(spark, "searched")
+            out.write.parquet(path)
+            out = spark.read.parquet(path)
+            shared.destroy()
+        block = following
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)], *(["cleaned"] if cut else []), "n_words", "spans", "items", "n_hit", "items_sha256")
 
 
