@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 import tracemalloc
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -44,15 +45,16 @@ def test_words_equal_the_pattern(monkeypatch):
 # operator 6 ------------------------------------------------------------------------------
 
 
-def shingle_set(text):
+def shingle_counts(text):
     w = split(text)
-    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    return Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)] if w else [])
 
 
 def brute_classes(rows, least=0.8):
-    """Classes by exact similarity of all pairs."""
+    """Classes by exact weighted similarity of all pairs."""
     texts = sorted({t or "" for _, t in rows})
-    sets, up = [shingle_set(t) for t in texts], list(range(len(texts)))
+    bags, up = [shingle_counts(t) for t in texts], list(range(len(texts)))
+    sizes = [sum(b.values()) for b in bags]
 
     def root(i):
         while up[i] != i:
@@ -60,8 +62,8 @@ def brute_classes(rows, least=0.8):
         return i
 
     for i, j in itertools.combinations(range(len(texts)), 2):
-        both = len(sets[i] & sets[j])
-        if both and both >= least * (len(sets[i]) + len(sets[j]) - both):
+        both = sum((bags[i] & bags[j]).values()) if bags[i].keys() & bags[j].keys() else 0
+        if both and both >= least * (sizes[i] + sizes[j] - both):
             up[root(j)] = root(i)
     ids = {}
     for d, t in rows:
@@ -109,6 +111,23 @@ def test_op6_large_buckets_are_whole(spark, weighted):
     assert shown(dartminhash.near_duplicates(df, weighted=weighted)) == sorted(brute_classes(rows), key=str)
 
 
+def test_op6_weights_are_copies(spark):
+    """Texts with the same set of shingles in different numbers of copies are apart; unweighted they are one."""
+    line, other = "a line of six or more words here", "some other line of words that follows"
+    rows = [(1, "\n".join([line] * 20 + [other])), (2, "\n".join([line] + [other] * 20)), (3, "\n".join([line] * 21 + [other]))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert shown(dartminhash.near_duplicates(df)) == brute_classes(rows) == [(1, 1), (2, 2), (3, 1)]
+
+
+def test_op6_equals_its_sql(spark, awkward):
+    import duckdb
+    import pandas as pd
+
+    documents = pd.DataFrame([(d, t) for d, t, _ in TEXTS], columns=["doc_id", "text"]).astype({"doc_id": "Int64"})  # noqa: F841
+    made = [(r["doc_id"], r["class_id"], r["n_class"]) for r in dartminhash.near_duplicates(awkward).collect()]
+    assert sorted(made, key=str) == sorted(duckdb.sql(dartminhash.ORACLE_SQL).fetchall(), key=str)
+
+
 def test_op6_edges(spark, awkward, nothing):
     rows = [(d, t) for d, t, _ in TEXTS]
     assert shown(dartminhash.near_duplicates(awkward)) == sorted(brute_classes(rows), key=str)

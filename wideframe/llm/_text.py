@@ -164,11 +164,13 @@ def list_array(values: pa.Array, counts: np.ndarray) -> pa.ListArray:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; sets a local one only where none is configured."""
+    """The folder that driver and executors share; where none is configured, a local session gets one of its own."""
     sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
-        folder = sc.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='wideframe-shared-')}"
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='wideframe-shared-')}"
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -179,6 +181,17 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
+def drop_tables(spark: SparkSession, *paths: str) -> None:
+    """Deletes written tables that no plan reads any more."""
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+#: Words of the column ``text`` in DuckDB's SQL.
+SQL_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
 def key_ranges(df: DataFrame, key: str, parts: int) -> tuple[list[int], Column]:
     """At most ``parts`` ranges of a long key with about equal row counts.
 

@@ -1,7 +1,7 @@
 """Operator 6 - near-duplicate detection by DartMinHash.
 
-A document is the set (or, weighted, the multiset) of its five-word shingles.
-Every shingle owns a hashed Poisson process of darts over the half-plane of
+A document is the multiset of its five-word shingles: a shingle's weight is the
+number of its copies (unweighted, as an option, it is the set).  Every shingle owns a hashed Poisson process of darts over the half-plane of
 weight and rank.  A document keeps the darts that fall below its shingles'
 weights, each dart belongs to one of ``COORDINATES`` coordinates, and the
 earliest dart of each coordinate is the signature: two documents agree on a
@@ -22,12 +22,13 @@ Plan
    named by its smallest ``doc_id``;
 7. larger buckets that still hold several classes are paired again, each round
    under another, hashed leader, members of one class left out, until a round
-   finds no link; its links join whole classes, so only those are labelled anew.
+   finds no link; its links join whole classes, so only those are labelled anew;
+8. the members of buckets that still hold several classes are joined exactly, by
+   common shingles in their prefixes of rare ones, places and sizes allowing.
 
 What can be missed: a pair of similarity 0.8 shares no band with probability
-(1 - 0.8^4)^32 < 5e-8.  In buckets of more than LEADERS + 1 nodes, two classes
-stay apart if no round up to the first one without a new link happens to
-pair them; such classes hang together by few pairs just above the threshold.
+(1 - 0.8^4)^32 < 5e-8.  Nothing else: what the rounds leave apart in buckets of
+more than LEADERS + 1 nodes is joined exactly, by prefixes of rare shingles.
 
 Scale: text is shuffled once, for the exact check, and only texts in candidate
 pairs go on from there.  Hot texts are spread by doc_id, hot buckets are
@@ -51,7 +52,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._text import fresh_path, list_array, map_batches, mix64, row_groups, shared_dir, text_buffer, word_bounds, words
+from ._text import SQL_WORDS, drop_tables, fresh_path, list_array, map_batches, mix64, row_groups, shared_dir, text_buffer, word_bounds, words
 
 #: Words in a shingle and least similarity of a link.
 SHINGLE = 5
@@ -309,24 +310,23 @@ def _ordered(pairs: DataFrame, central: DataFrame) -> DataFrame:
     return pairs.select(F.when(lead_left, F.col("lead")).otherwise(F.col("tkey")).alias("a"), F.when(lead_left, F.col("tkey")).otherwise(F.col("lead")).alias("b")).distinct()
 
 
-def _all_pairs(nodes: DataFrame, weighted: bool, least: float) -> DataFrame:
+def _all_pairs(nodes: DataFrame, weighted: bool, least: float, paths: list[str]) -> DataFrame:
     """(tkey, lead): all pairs of nodes (tkey, label, text) with different labels whose shingles' places allow the similarity.
 
-    One of a pair is outside the most frequent label of their common shingle, so
+    Prefixes and postings are written to the two paths.  One of a pair is outside the most frequent label of their common shingle, so
     a large class is not paired with itself.
     """
     spark = nodes.sparkSession
     counted = map_batches(nodes, _counter(weighted), "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     common = np.zeros(SLOTS, np.uint8)
     common[counted["slot"].to_numpy()] = np.minimum(np.log2(counted["n"].to_numpy()) * 8, 255)
-    path = fresh_path(spark, "dart-prefixes")
-    map_batches(nodes, _prefixes(weighted, least, common), "e bigint, tkey binary, label binary, n bigint, i bigint").write.parquet(path)
-    first = spark.read.parquet(path)
+    prefixes, postings = paths
+    map_batches(nodes, _prefixes(weighted, least, common), "e bigint, tkey binary, label binary, n bigint, i bigint").write.parquet(prefixes)
+    first = spark.read.parquet(prefixes)
     kinds = first.groupBy("e", "label").agg(F.count(F.lit(1)).alias("rows"))
     kinds = kinds.groupBy("e").agg(F.count(F.lit(1)).alias("kinds"), F.max_by("label", "rows").alias("main")).where("kinds > 1").select("e", "main")
-    path = fresh_path(spark, "dart-postings")
-    first.join(kinds, "e").write.parquet(path)
-    y = spark.read.parquet(path)
+    first.join(kinds, "e").write.parquet(postings)
+    y = spark.read.parquet(postings)
     x = y.where("label <> main").select("e", F.col("tkey").alias("lead"), F.col("label").alias("lead_label"), F.col("n").alias("m"), F.col("i").alias("j"))
     both = x.join(y, "e").where("lead_label <> label and (label = main or lead < tkey)")
     need = F.lit(least / (1 + least)) * (F.col("n") + F.col("m")) - 1e-9
@@ -334,7 +334,7 @@ def _all_pairs(nodes: DataFrame, weighted: bool, least: float) -> DataFrame:
     return both.where(F.least("n", "m") >= F.lit(least) * F.greatest("n", "m") - 1e-9).select("tkey", "lead").distinct()
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", weighted: bool = False, similarity: float = SIMILARITY) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", weighted: bool = True, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id, n_class, tkey, label) of every document.
 
     ``class_id`` names its class of near duplicates, ``n_class`` counts the
@@ -349,16 +349,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     banded = signed.select("tkey", F.explode("bands").alias("band")).distinct()
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    path = fresh_path(spark, "dart-buckets")
-    banded.join(shared, "band").write.parquet(path)
-    members = spark.read.parquet(path)
+    own_tables = [fresh_path(spark, f"dart-{name}") for name in ("buckets", "texts", "prefixes", "postings")]
+    banded.join(shared, "band").write.parquet(own_tables[0])
+    members = spark.read.parquet(own_tables[0])
     central = members.groupBy("tkey").agg(F.sum("size").alias("central"))
 
     wanted = nodes.join(central, "tkey").select(F.col("tkey").alias("k"), "rep")
     texts = own.join(wanted, (F.col("tkey") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").dropDuplicates(["tkey"])
-    path = fresh_path(spark, "dart-texts")
-    texts.select("tkey", "text").write.parquet(path)
-    texts = spark.read.parquet(path)
+    texts.select("tkey", "text").write.parquet(own_tables[1])
+    texts = spark.read.parquet(own_tables[1])
 
     def linked(pairs: DataFrame) -> DataFrame:
         """The pairs whose texts are similar."""
@@ -383,10 +382,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         labels = joined_labels(labels, more)
     # what is left of the buckets that still hold several classes is joined exactly
     left = named.join(mixed, "band", "left_semi").select("tkey", "label").distinct()
-    pairs = _ordered(_all_pairs(left.join(texts, "tkey").select("tkey", "label", "text"), weighted, similarity), central).join(tested, ["a", "b"], "left_anti").checkpoint()
+    pairs = _ordered(_all_pairs(left.join(texts, "tkey").select("tkey", "label", "text"), weighted, similarity, own_tables[2:]), central).join(tested, ["a", "b"], "left_anti").checkpoint()
     more = linked(pairs)
     if more.limit(1).count():
         labels = joined_labels(labels, more)
+    drop_tables(spark, *own_tables)  # signatures and checkpointed labels make the result
 
     named = nodes.join(labels.withColumnRenamed("node", "tkey"), "tkey", "left").withColumn("label", F.coalesce("label", "tkey"))
     classes = named.groupBy("label").agg(F.min("rep").alias("class_id"), F.sum("n").alias("n_class"))
@@ -419,3 +419,22 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **opti
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of near duplicates of every document."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "class_id", "n_class")
+
+
+#: The query in DuckDB's SQL: all pairs with a common shingle, and their components.
+ORACLE_SQL = f"""
+WITH RECURSIVE docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+texts AS (SELECT text, row_number() OVER (ORDER BY text) AS k, min(doc_id) AS rep, count(*) AS n FROM docs GROUP BY text),
+split AS (SELECT k, {SQL_WORDS} AS w FROM texts),
+placed AS (SELECT k, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM split WHERE len(w) >= {SHINGLE}),
+runs AS (SELECT k, concat_ws(' ', w, {", ".join(f"lead(w, {i}) OVER o" for i in range(1, SHINGLE))}) AS s, lead(w, {SHINGLE - 1}) OVER o AS last FROM placed WINDOW o AS (PARTITION BY k ORDER BY i)),
+shingles AS (SELECT k, s, count(*) AS c FROM (SELECT k, s FROM runs WHERE last IS NOT NULL UNION ALL SELECT k, array_to_string(w, ' ') FROM split WHERE len(w) BETWEEN 1 AND {SHINGLE - 1}) GROUP BY k, s),
+sizes AS (SELECT k, sum(c) AS n FROM shingles GROUP BY k),
+common AS (SELECT a.k AS x, b.k AS y, sum(least(a.c, b.c)) AS m FROM shingles a JOIN shingles b ON a.s = b.s AND a.k < b.k GROUP BY a.k, b.k),
+links AS (SELECT x, y FROM common JOIN sizes p ON p.k = x JOIN sizes q ON q.k = y WHERE m >= CAST({SIMILARITY} AS DOUBLE) * (p.n + q.n - m)),
+edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reached AS (SELECT k, k AS label FROM texts UNION SELECT y, label FROM reached JOIN edges ON x = k WHERE label < y),
+labels AS (SELECT k, min(label) AS label FROM reached GROUP BY k),
+classes AS (SELECT label, min(rep) AS class_id, CAST(sum(n) AS BIGINT) AS n_class FROM labels JOIN texts USING (k) GROUP BY label)
+SELECT d.doc_id, class_id, n_class FROM docs d JOIN texts USING (text) JOIN labels USING (k) JOIN classes USING (label)
+"""

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._text import fresh_path, map_batches, mix64, row_groups, text_buffer, word_bounds, words
+from ._text import SQL_WORDS, fresh_path, map_batches, mix64, row_groups, text_buffer, word_bounds, words
 
 #: Words in a window.
 WIDTH = 10
@@ -368,14 +368,12 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items_sha256", (F.col("n_hit") > 0).alias("contaminated"))
 
 
-_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
-
 #: The query in DuckDB's SQL: windows as texts, an equal join, and covered words counted.
 ORACLE_SQL = f"""
-WITH items AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
+WITH items AS (SELECT CAST(item_id AS VARCHAR) AS item, {SQL_WORDS} AS w FROM benchmark),
 sized AS (SELECT item, w, least(len(w), {WIDTH}) AS n FROM items WHERE len(w) > 0),
 windows AS (SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS win FROM (SELECT item, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM sized)),
-docs AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+docs AS (SELECT doc_id, {SQL_WORDS} AS w FROM documents),
 lengths AS (SELECT DISTINCT n FROM windows),
 places AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, lengths WHERE len(w) >= n),
 hits AS (SELECT doc_id, i, p.n, item FROM places p JOIN windows x ON p.n = x.n AND array_to_string(p.w[i:i + p.n - 1], ' ') = x.win),

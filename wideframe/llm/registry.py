@@ -37,7 +37,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_url_filter": urlfilter.oracle_sql(),
-        
+        "op6_near_duplicates": dartminhash.ORACLE_SQL,
         "op7_decontaminate": decontam.ORACLE_SQL,
         "op10_quotation_links": quotes.ORACLE_SQL,
     }
