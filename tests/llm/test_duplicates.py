@@ -305,6 +305,56 @@ def test_op1_query_tells_edits_from_strangers(spark, data):
         assert made.setdefault(texts[r["doc_id"]], r["fingerprint"]) == r["fingerprint"]
 
 
+def test_op1_fingerprints_equal_brute_force(spark):
+    """Lexicon by counting, subsets by whole numbers, likeness by comparing sets of terms."""
+    rnd = random.Random(13)
+    vocabulary = [f"w{i}" for i in range(400)]
+    texts = [" ".join(rnd.choices(vocabulary[: rnd.choice([60, 400])], k=rnd.choice([0, 3, 40, 400]))) for _ in range(60)]
+    texts = [t if i % 3 else texts[i - 1] + " w7 extra" for i, t in enumerate(texts)] + ["unheard of words", "other strange things"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    made = imatch.fingerprints(pa.array(texts), imatch.lexicon(df))
+    known = Counter(w for t in texts for w in set(split(t)))
+    n = len(texts)
+    lexicon = {w for w, df in known.items() if df >= n ** (1 - imatch.MOST_IDF) and np.log(n / df) >= imatch.LEAST_IDF}
+    assert 0 < len(lexicon) < len(known)
+    number = {w: int(imatch.terms(pa.array([w]))[0][0]) for w in known}
+
+    def subsets(text):
+        own, out = {}, []
+        for k in range(imatch.SLOTS):
+            kept = set(split(text)) & lexicon
+            for s in range(imatch.SCALES):
+                kept = {w for w in kept if number[w] * int(imatch._SLOT_SEEDS[s * imatch.SLOTS + k]) % 2**64 < 2**62}
+                own[s, k] = frozenset(kept)
+        for s in range(imatch.SCALES):
+            out.append([own[s, k] for k in range(imatch.SLOTS)])
+        return out
+
+    sets = [subsets(t) for t in texts]
+    for i in range(n):
+        assert [x > 0 for x in made[i, 1:].tolist()] == [bool(x) for scale in sets[i] for x in scale]
+    for i, j in itertools.combinations(range(n), 2):
+        like = imatch.likeness(made[i : i + 1], made[j : j + 1])[0]
+        used = [sum(bool(x or y) for x, y in zip(a, b, strict=True)) for a, b in zip(sets[i], sets[j], strict=True)]
+        enough = [s for s in range(imatch.SCALES) if used[s] >= imatch.LEAST_SLOTS]
+        s = enough[-1] if enough else used.index(max(used))
+        same = sum(bool(x) and x == y for x, y in zip(sets[i][s], sets[j][s], strict=True))
+        a, b = (set(split(t)) & lexicon or set(split(t)) for t in (texts[i], texts[j]))
+        if a == b:
+            assert like == 1
+        else:  # hashes of eight bits may agree by chance
+            assert same / max(used[s], 1) <= like <= same / max(used[s], 1) + 4 / imatch.LEAST_SLOTS
+    assert imatch.likeness(made[n - 2 : n - 1], made[n - 1 :])[0] == 0  # no lexicon term
+
+
+def test_op1_tells_edits_of_very_long_texts():
+    rnd = random.Random(14)
+    a, b = ([f"{c}{rnd.randrange(10**9)}" for _ in range(50_000)] for c in "ab")
+    table = imatch.fingerprints(pa.array([" ".join(a), " ".join(a[: -len(a) // 3] + b[: len(a) // 3]), " ".join(b)]), np.full(imatch.BUCKETS // 64, -1, np.int64))
+    near, far = imatch.likeness(table[:1], table[1:2])[0], imatch.likeness(table[:1], table[2:])[0]
+    assert near > 0.25 and far < 0.1
+
+
 def test_lexicon_is_the_band(spark):
     docs = spark.createDataFrame([(i, f"common {'half' if i % 2 else 'other'} pair{i // 2} only{i}") for i in range(40)], "doc_id bigint, text string")
     bits = imatch.lexicon(docs)

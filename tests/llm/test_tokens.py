@@ -220,3 +220,37 @@ def test_op8_edges(spark, awkward, nothing):
     assert [(r["doc_id"], r["n_chars"]) for r in made] == [(1, 2), (1, 4), (1, 5), (2, 3), (3, 0)]
     with pytest.raises(ValueError):
         tokencounts.section_counts(awkward, [], rule="other")
+
+
+def test_op9_cuts_only_known_tokenizers(monkeypatch):
+    definition = open(tokenio.TOKENIZER, encoding="utf-8").read()
+    assert tokenio.may_cut(definition)
+    other = open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read()
+    assert not tokenio.may_cut(other)
+    library = Tokenizer.from_str(other)
+    library.encode_special_tokens = True
+    texts = [*odd_texts(20), "two  words, and. more\nlines", None]
+    for t, made in zip(texts, tokenio.PieceEncoder(other, 1).encode(texts), strict=True):
+        assert np.frombuffer(made, "<u4").tolist() == [*library.encode(t or "", add_special_tokens=False).ids, 1]
+
+
+def test_op8_query(spark, data):
+    """Counts of the query's lines: whole documents by the library, lines by their token starts."""
+    ranks = bpe.read_ranks(tokencounts.RANKS)
+    library = tiktoken.Encoding("own", pat_str=tokencounts.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = {}
+    for r in tokencounts.op8_token_counts(spark, data).collect():
+        got.setdefault(r["doc_id"], {})[r["section"]] = (r["n_tokens"], r["n_chars"])
+    docs = spark.read.parquet(f"{data}/documents.parquet").collect()
+    assert len(got) == len(docs)
+    for d in docs:
+        lines = [x + b"\n" for x in (d["text"] or "").encode().split(b"\n")]
+        lines[-1] = lines[-1][:-1]
+        lines = lines[:-1] if len(lines) > 1 and not lines[-1] else lines
+        starts, at = [], 0
+        for i in library.encode_ordinary(d["text"] or ""):
+            starts.append(at)
+            at += len(library.decode_single_token_bytes(i))
+        edges = np.cumsum([0, *map(len, lines)])
+        counts = np.histogram(starts, edges)[0] if at else [0]
+        assert [got[d["doc_id"]][k] for k in range(len(lines))] == [(int(n), len(x.decode())) for n, x in zip(counts, lines, strict=True)]

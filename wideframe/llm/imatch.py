@@ -1,14 +1,18 @@
 """Operator 1 - I-Match document fingerprints over randomised lexicon subsets.
 
-The lexicon is the terms whose inverse document frequency lies in a chosen band.
+The lexicon is the terms whose inverse document frequency lies in a chosen band:
+ln(N / df) is at least ``LEAST_IDF``, which leaves out words of every text, and at most
+``MOST_IDF`` times ln N, which leaves out terms of fewer than N^(1 - ``MOST_IDF``) documents
+(typing errors, numbers, names of one text) alike at every size.
 A document's distinct lexicon terms, sorted, are hashed once whole and once for
-each of ``SCALES`` x ``SLOTS`` randomised subsets of the lexicon; a subset of scale
-s holds each term with probability ``KEEP[s]``.  Texts that share most terms agree
-on the sparse subsets, equal texts agree on all.
+each of ``SCALES`` x ``SLOTS`` randomised subsets of the lexicon.  A subset of scale s
+holds each term with probability 4^-s; it is a part of the subset of scale s - 1 in
+its slot.  Texts that share most terms agree on the sparse subsets, equal texts agree on all.
 
 Likeness of two fingerprints: 1 if equal; else the share of equal hashes among
 the subsets, of the sparsest scale with at least ``LEAST_SLOTS`` subsets that are
-not empty for both (with none, of the scale with the most such subsets).
+not empty for both (with none, of the scale with the most such subsets).  The scales reach
+texts of some 100,000 distinct terms.
 
 Scale: document frequencies are counted over all documents in ``BUCKETS`` hashed
 terms, summed within each task before the shuffle.  The lexicon is broadcast as
@@ -18,7 +22,8 @@ ranges of ``doc_id``, each range with one copy of the next range's first documen
 so text is shuffled once and sorted within its range.
 
 Edge cases: a null text is empty; an empty text has the fingerprint of no terms.
-A document with fewer than ``LEAST_TERMS`` lexicon terms uses all its terms.  Of equal
+The whole hash of a text without any lexicon term is of all its terms, its subsets are
+empty: it is like equal texts only.  Of equal
 ids the order is by text.  A table's only document is its own next one.  A document with a null id has no next
 document: nothing replaces what is cut, and near_next is 0.  Only the named columns are read.
 """
@@ -38,15 +43,13 @@ from ._text import key_ranges, map_batches, mix64, row_groups, text_buffer, word
 
 #: Hashed terms of the lexicon.
 BUCKETS = 1 << 22
-#: Band of ln(documents / document frequency), and least documents of a term.
-IDF_BAND = (1.5, 30.0)
-LEAST_DOCUMENTS = 2
-#: Chances of a term to be in a subset, one for each scale, and subsets of each.
-KEEP = (1 / 4, 1 / 16, 1 / 64, 1 / 256, 1 / 1024)
+#: Band of the inverse document frequency: least ln(N / df), and most as a share of ln N.
+LEAST_IDF = 1.5
+MOST_IDF = 0.9
+#: Scales of subsets, each a quarter of the one before, and subsets of each.
+SCALES = 8
 SLOTS = 48
-SCALES = len(KEEP)
 LEAST_SLOTS = 24
-LEAST_TERMS = 8
 GROUP_BYTES = 4 << 20
 
 _SLOT_SEEDS = mix64(np.arange(1, SCALES * SLOTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -86,8 +89,7 @@ def lexicon(docs: DataFrame, text: str = "text") -> np.ndarray:
     own = docs.select(F.col(text).alias("t"))
     total = own.count()
     counts = map_batches(own, _frequencies, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
-    low, high = (total / np.exp(x) for x in reversed(IDF_BAND))
-    chosen = counts.where((F.col("n") >= max(low, LEAST_DOCUMENTS)) & (F.col("n") <= high))
+    chosen = counts.where((F.col("n") >= float(total ** (1 - MOST_IDF))) & (F.col("n") <= float(total / np.exp(LEAST_IDF))))
     # packed by the executors into BUCKETS / 64 words at most
     word = chosen.groupBy(F.floor(F.col("bucket") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(bucket % 64))")).alias("bits"))
     out = np.zeros(BUCKETS // 64, np.int64)
@@ -106,9 +108,7 @@ def fingerprints(column: pa.Array, bits: np.ndarray) -> np.ndarray:
     bucket = (h % np.uint64(BUCKETS)).astype(np.int64)
     inside = ((bits[bucket >> 6] >> (bucket & 63)) & 1).astype(bool)
     doc = np.repeat(np.arange(n), np.diff(bounds))
-    few = np.bincount(doc[inside], minlength=n) < LEAST_TERMS
-    inside |= few[doc]
-    h, doc = h[inside], doc[inside]
+    none = np.bincount(doc[inside], minlength=n) == 0
 
     def hashed(value: np.ndarray, own: np.ndarray) -> np.ndarray:
         """Order-sensitive hash of each document's sorted terms."""
@@ -118,15 +118,18 @@ def fingerprints(column: pa.Array, bits: np.ndarray) -> np.ndarray:
         made[own[at]] = mix64(np.add.reduceat(mix64(value + place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), at))
         return made
 
-    out[:, 0] = hashed(h, doc)
-    for s in range(SCALES):
-        for k in range(SLOTS):
+    whole = inside | none[doc]
+    out[:, 0] = hashed(h[whole], doc[whole])
+    h, doc = h[inside], doc[inside]
+    for k in range(SLOTS):
+        pick = np.arange(len(h))
+        for s in range(SCALES):
             slot = s * SLOTS + k
-            pick = np.flatnonzero(h * _SLOT_SEEDS[slot] < np.uint64(int(KEEP[s] * 2.0**64)))
-            if len(pick):
-                out[:, 1 + slot] = hashed(h[pick], doc[pick])
-                own = np.unique(doc[pick])
-                out[own, 1 + slot] = out[own, 1 + slot] % np.uint64(0xFF) + np.uint64(1)
+            pick = pick[h[pick] * _SLOT_SEEDS[slot] < np.uint64(1 << 62)]
+            if not len(pick):
+                break
+            own = np.unique(doc[pick])
+            out[own, 1 + slot] = hashed(h[pick], doc[pick])[own] % np.uint64(0xFF) + np.uint64(1)
     return out
 
 

@@ -22,9 +22,9 @@ range's first position is known, so no task sees more than its own range.  What
 reaches the driver is bounded by the vocabulary and the number of ranges.
 
 Encoding cuts text at spaces and line feeds and between an ASCII letter and a
-full stop or comma, which the tokenizer's own normaliser and splitter never
-join over, and keeps the ids of pieces in two bounded generations; only new
-pieces go through the library.
+full stop or comma, if the tokenizer's own normaliser and splitter are known never to
+join over these places (``may_cut``), and keeps the ids of pieces in two bounded
+generations; only new pieces go through the library.  Any other tokenizer gets whole texts.
 
 Edge cases: a null text is empty and gives the end id alone; documents with a
 null id come first; equal ids are ordered by length, then by coded bytes; an
@@ -33,6 +33,7 @@ empty table writes a folder without blocks.  Other columns are not read.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -93,6 +94,23 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     return word & _MASKS[size]
 
 
+#: Splitting pattern and normalisers under which no word goes over a place of cutting; fixed by the vocabulary file.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMALIZERS = ({"type": "NFC"}, {"type": "Lowercase"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "})
+
+
+def may_cut(definition: str) -> bool:
+    """Whether texts of a tokenizer can be cut into pieces that are encoded by themselves."""
+    d = json.loads(definition)
+    normal, split = d.get("normalizer") or {}, d.get("pre_tokenizer") or {}
+    steps = split.get("pretokenizers", [split]) if split else []
+    first = steps[0] if steps else {}
+    known = all(n in _NORMALIZERS for n in (normal.get("normalizers", [normal]) if normal else []))
+    parted = first.get("type") == "Split" and first.get("pattern") == {"Regex": _PATTERN} and first.get("behavior") == "Removed" and first.get("invert") is True
+    plain = all(s.get("type") == "ByteLevel" and not s.get("add_prefix_space") and not s.get("use_regex") for s in steps[1:])
+    return known and parted and plain and all(t.get("special") for t in d.get("added_tokens", [])) and not d.get("truncation") and not d.get("padding")
+
+
 class PieceEncoder:
     """Ids of texts by the tokenizers library, with a bounded cache of pieces."""
 
@@ -102,12 +120,15 @@ class PieceEncoder:
 
         self.library = Tokenizer.from_str(definition)
         self.library.encode_special_tokens = True
+        self.cuts = may_cut(definition)
         self.end = np.array([end_id], "<u4").tobytes()
         self.cache: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text, with the end id."""
+        if not self.cuts:
+            return [array("I", self.library.encode(t or "", add_special_tokens=False).ids).tobytes() + self.end for t in texts]
         split = [_MARK.sub(" ", (t or "").replace("\n", " ")).split(" ") for t in texts]
         if len(self.cache) > CACHE_PIECES:
             self.cache, self.old = {"": b""}, self.cache
