@@ -146,9 +146,63 @@ def test_op4_mixtures_find_both_languages():
         p[k, 100 * k : 100 * k + 100] = 1
     log_p = np.log(p / p.sum(axis=1, keepdims=True))
     mixed = np.concatenate([rng.integers(0, 100, 70), rng.integers(200, 300, 130)])
-    best, score = langid.mixtures(*langid.bags(np.concatenate([mixed, rng.integers(100, 200, 50)]), np.array([200, 0, 50])), 3, log_p)
-    assert best.tolist() == [2, -1, 1]
+    noise = rng.integers(5000, 9000, 60)
+    best, score, shares, margin = langid.mixtures(*langid.bags(np.concatenate([mixed, rng.integers(100, 200, 50), noise]), np.array([200, 0, 50, 60])), 4, log_p)
+    assert best.tolist()[:3] == [2, -1, 1]
     assert score[0] == pytest.approx(0.65, abs=0.05) and score[2] == pytest.approx(1)
+    assert shares[0].tolist() == pytest.approx([0.35, 0, 0.65], abs=0.02) and not shares[1].any() and shares[2].tolist() == [0, 1, 0]
+    assert margin[0] > 3 and margin[2] > 3 and margin[3] < 0 and margin[1] == 0
+
+
+def test_op4_as_many_languages_as_a_text_has():
+    """Five languages in equal parts are all found: nothing bounds the set but the penalty."""
+    rng = np.random.default_rng(5)
+    p = np.full((7, langid.FEATURES), 1e-6)
+    for k in range(7):
+        p[k, 100 * k : 100 * k + 100] = 1
+    features = np.concatenate([rng.integers(100 * k, 100 * k + 100, 200) for k in range(5)])
+    _, _, shares, _ = langid.mixtures(*langid.bags(features, np.array([1000])), 1, np.log(p / p.sum(axis=1, keepdims=True)))
+    assert shares[0].tolist() == pytest.approx([0.2] * 5 + [0, 0], abs=0.01)
+
+
+def test_op4_equals_brute_force_mixtures():
+    """Proportions by plain expectation-maximisation over all sets of the most used languages."""
+    rng = np.random.default_rng(6)
+    p = rng.dirichlet(np.full(60, 0.3), 4)
+    log_p = np.full((4, langid.FEATURES), -40.0)
+    log_p[:, :60] = np.log(p + 1e-9)
+    p = np.exp(log_p)
+    for _ in range(25):
+        share = rng.dirichlet([0.4] * 4)
+        x = rng.choice(60, rng.integers(5, 400), p=share @ p[:, :60] / (share @ p[:, :60]).sum())
+        best, _, shares, margin = langid.mixtures(*langid.bags(x, np.array([len(x)])), 1, log_p)
+
+        def settled(start, x=x):
+            for _ in range(langid.ROUNDS):
+                part = start[:, None] * p[:, x]
+                now = (part / part.sum(axis=0)).mean(axis=1)
+                done = np.abs(now - start).max() <= langid.SETTLED
+                start = now
+                if done:
+                    break
+            return start, np.log(start @ p[:, x]).sum()
+
+        first, _ = settled(np.full(4, 0.25))
+        single = log_p[:, x].sum(axis=1)
+        sets = [(single.max(), np.eye(4)[single.argmax()], single.max())]
+        for m in range(2, 5):
+            start = np.where(np.argsort(np.argsort(-first, kind="stable")) < m, first, 0)
+            made, fit = settled(start / start.sum())
+            sets.append((fit - langid.PENALTY * (m - 1) * np.log(len(x) + 1), made, fit))
+        value, made, fit = max(sets, key=lambda s: s[0])
+        assert shares[0].tolist() == pytest.approx(made.tolist(), abs=1e-3) and best[0] == made.argmax()
+        assert margin[0] == pytest.approx(fit / len(x) + np.log(langid.FEATURES), abs=1e-4)
+
+
+def test_op4_repeated_rows_count_once_in_training(spark):
+    rows = [(0, "alpha beta gamma", "xx")] * 50 + [(i, f"delta epsilon {'abc'[i % 3]}", "xx") for i in range(1, 40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert np.allclose(langid.train(df, per_language=1000)[1], langid.train(df.distinct(), per_language=1000)[1])
 
 
 # operator 5 ------------------------------------------------------------------------------
@@ -435,6 +489,6 @@ def test_pipeline_stages_keep_columns_and_survive_awkward_rows(spark, awkward, n
 
 
 def test_nothing_in_nothing_out():
-    best, score = langid.mixtures(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), 2, np.zeros((0, langid.FEATURES)))
+    best, score, _, _ = langid.mixtures(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), 2, np.zeros((0, langid.FEATURES)))
     assert best.tolist() == [-1, -1] and not score.any() and not math.isnan(score.sum())
     assert htmlmain.minimum_cut([], []) == []
