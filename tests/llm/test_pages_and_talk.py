@@ -476,6 +476,21 @@ def test_pipeline_equals_stages_by_brute_force(spark, data):
     assert set(made) == {r["doc_id"] for r in kept} and all(n > 0 for n in made.values())
 
 
+def test_pipeline_rejects_what_no_learned_language_explains(spark, data):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    strange = ["Η πόλη του ποταμού και των λόφων είναι παλιά και είναι το σπίτι πολλών ανθρώπων", "qzxj vkqw zzxq jqvx xkqz wvqj qxzk", "12 34 !!", None]
+    short = ["The and the.", "Der und die.", "token = 17 the river"]
+    own = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    rows = [(10**9 + i, t, None, "s", 0) for i, t in enumerate(strange + short)]
+    kept = corpus_pipeline.identify_language(spark, own.union(spark.createDataFrame(rows, own.schema)), data)
+    assert kept.columns == own.columns
+    ids = {r["doc_id"] for r in kept.select("doc_id").collect()}
+    assert [10**9 + i in ids for i in range(7)] == [False] * 4 + [True] * 3
+    assert ids >= {r["doc_id"] for r in docs.collect() if any(c.isalpha() for c in r["text"] or "")}
+
+
 def test_pipeline_stages_keep_columns_and_survive_awkward_rows(spark, awkward, nothing, data):
     import corpus_pipeline
 
