@@ -2,7 +2,9 @@
 
 Four stages, each over all that its predecessor kept:
 
-1. language identification: documents without an identifiable language go;
+1. language identification: documents go that have no letter, or whose trigrams
+   would be likelier if all were equally likely than in the learned languages they
+   are nearest to (a test that means the same for any number of languages);
 2. near-duplicate removal: one document of each class stays, the one with the
    smallest ``doc_id``;
 3. benchmark decontamination: documents that hold a benchmark window go;
@@ -21,8 +23,6 @@ from pyspark.sql import functions as F
 from wideframe.llm import bpe, dartminhash, decontam, langid
 from wideframe.llm._text import fresh_path
 
-#: Least score of a kept language.
-LEAST_SCORE = 0.25
 #: SQL cannot state the stages; tests compare each with a brute-force version.
 ORACLE_SQL = None
 
@@ -40,7 +40,7 @@ def _unpacked(packed: DataFrame, columns: list[str], text: str = "text") -> Data
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is identified."""
     found = langid.predict(_packed(docs), langid.train(docs), ["text", "row"])
-    return _unpacked(found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)), docs.columns)
+    return _unpacked(found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("margin") > 0)), docs.columns)
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
