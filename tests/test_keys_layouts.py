@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from wideframe.functions import keys, schemas
 from wideframe.plans.layout import CellSchema, Family, KeyFormat, Layout, LayoutError, LocalityGroup, check_write, update
 from wideframe.sources import files, tables
-from wideframe.sources.catalog import CatalogError, local_instance, parse_uri
+from wideframe.sources.catalog import CatalogError, Instance, make_uri, parse_uri, resolve_uri
 
 FORMAT = KeyFormat(components=(("a", "INTEGER"), ("b", "LONG"), ("c", "STRING")), hash_size=3, nullable_from=1, range_scan_from=2)
 
@@ -139,7 +139,7 @@ def test_values_to_json_and_back():
 
 
 def test_catalog(spark, tmp_path):
-    home = local_instance(spark, str(tmp_path / "i"))
+    home = Instance(spark, f"file://{tmp_path}/i").install()
     cells = spark.createDataFrame([(k, f, "q", 1, str(k)) for k in range(20) for f in ("info", "tags")], "key bigint, family string, qualifier string, version bigint, value string")
     home.create(layout(), cells, regions=2)
     assert home.tables() == ["users"] and home.cells("users").count() == 40
@@ -162,7 +162,7 @@ def test_catalog(spark, tmp_path):
     assert home.notes("users", prefix="own") == {("", "owner"): "me", ("info:name", "owned_by"): "you"}
     assert home.notes("users", column="info:name", pattern="^owned") == {("info:name", "owned_by"): "you"}
     home.export_metadata(f"file://{tmp_path}/backup")
-    other = local_instance(spark, str(tmp_path / "j"))
+    other = Instance(spark, f"file://{tmp_path}/j").install()
     other.restore_metadata(f"file://{tmp_path}/backup")
     assert other.tables() == ["users"] and other.notes("users") == home.notes("users")
     home.drop("users")
@@ -191,3 +191,44 @@ def test_unpivot_skips_nulls(spark):
     rows = spark.createDataFrame([(1, "a", None, 5)], "k bigint, x string, y string, t bigint")
     made = tables.unpivot(rows, "k", "f", ["x", "y"], "t").collect()
     assert [tuple(r) for r in made] == [(1, "f", "x", 5, "a")]
+
+
+def test_keys_decode_as_columns(spark):
+    fmt = KeyFormat(components=(("a", "STRING"), ("b", "LONG"), ("c", "STRING"), ("d", "INTEGER")), hash_size=3, nullable_from=1)
+    rows = [["", -(2**63), "é世", -(2**31)], ["x" * 70, 2**63 - 1, "\x01", 2**31 - 1], ["a", 0, None, None], ["\x10\x01", None, None, None], ["q", 5, "", 0]]
+    made = spark.createDataFrame([(keys.encode(fmt, r),) for r in rows], "key binary").select(*keys.decode_columns(fmt, F.col("key")))
+    assert [list(r) for r in made.collect()] == rows
+    with pytest.raises(ValueError):
+        keys.decode_columns(KeyFormat(suppress_materialization=True), F.col("key"))
+
+
+def test_split_files(spark, tmp_path):
+    (tmp_path / "s").write_text("hex:0a0b\n\nab\\x00c\nb\n")
+    assert keys.read_splits(spark, str(tmp_path / "s")) == [b"\x0a\x0b", b"ab\x00c", b"b"]
+    (tmp_path / "t").write_text("b\na\n")
+    with pytest.raises(ValueError):
+        keys.read_splits(spark, str(tmp_path / "t"))
+
+
+def test_addresses_are_built_and_resolved():
+    assert make_uri("wide", ["h:1", "g:2"], "i", "t", ["f:q", "g"]) == "wide://h:1,g:2/i/t/f:q,g"
+    assert resolve_uri("wide://h:1/i", "t/f") == "wide://h:1/i/t/f" and resolve_uri("wide://h:1/i/", "t") == "wide://h:1/i/t"
+    for bad in ((["h"], None, "t"), (["h"], "i", None, ["f"]), (["h"], "1x")):
+        with pytest.raises(ValueError):
+            make_uri("wide", *bad)
+
+
+def test_writes_are_checked_and_retained(spark, tmp_path):
+    home = Instance(spark, f"file://{tmp_path}/w").install()
+    family = Family("info", {"a": CellSchema(readers=("string",)), "n": CellSchema()})
+    home.create(Layout("t", groups={"main": LocalityGroup("main", {"info": family, "m": Family("m", map_schema=CellSchema())}, max_versions=1)}, policy="DEVELOPER"))
+    cells = spark.createDataFrame([(1, "info", "a", 5, "x"), (1, "info", "a", 6, "y"), (1, "m", "any", 1, "z")], "key bigint, family string, qualifier string, version bigint, value string")
+    made = home.check("t", cells)
+    assert made.schema_of("info", "a").writers == ("string",) and home.layout("t").schema_of("m", "any").writers == ("string",) and len(home.layouts("t")) == 2
+    assert home.check("t", cells) == home.layout("t") and len(home.layouts("t")) == 2
+    with pytest.raises(CatalogError):
+        home.check("t", cells.withColumn("qualifier", F.lit("unknown")).where("family = 'info'"))
+    with pytest.raises(LayoutError):
+        home.check("t", cells.where("family = 'info'"), "long")
+    home.save("t", cells, now=10)
+    assert sorted(r["version"] for r in home.cells("t").collect()) == [1, 6]

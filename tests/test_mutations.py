@@ -82,3 +82,59 @@ def test_retention_counts_versions_then_age(spark):
     cells = table(spark, [(1, f, "q", v, "x") for f in "fm" for v in (1000, 2000, 3000, 4000)])
     layout = Layout("t", groups={"a": LocalityGroup("a", {"f": Family("f")}, max_versions=2), "b": LocalityGroup("b", {"m": Family("m")}, ttl_seconds=1)})
     assert [(r[1], r[3]) for r in got(mutations.retain(cells, layout, now=3500))] == [("f", 3000), ("f", 4000), ("m", 3000), ("m", 4000)]
+
+
+@pytest.mark.parametrize(("table_seq", "write_seq"), [(False, False), (True, False), (False, True), (True, True)])
+def test_the_later_write_of_a_version_wins(spark, table_seq, write_seq):
+    old = table(spark, [(1, "f", "q", 5, "old", *([7] if table_seq else [])), (2, "f", "q", 5, "kept", *([8] if table_seq else []))], ", seq bigint" if table_seq else "")
+    new = table(spark, [(1, "f", "q", 5, "new", *([9] if write_seq else []))], ", seq bigint" if write_seq else "")
+    made = mutations.put(old, new)
+    assert got(made) == [(1, "f", "q", 5, "new"), (2, "f", "q", 5, "kept")]
+    again = mutations.put(made, table(spark, [(1, "f", "q", 5, "last")]))
+    assert got(again) == [(1, "f", "q", 5, "last"), (2, "f", "q", 5, "kept")]
+
+
+def test_an_older_seq_does_not_win(spark):
+    old = table(spark, [(1, "f", "q", 5, "old", 7)], ", seq bigint")
+    assert got(mutations.put(old, table(spark, [(1, "f", "q", 5, "late", 3)], ", seq bigint"))) == [(1, "f", "q", 5, "old")]
+
+
+def test_increments_add_to_the_newest_write(spark):
+    kinds = "key bigint, family string, qualifier string, version bigint, value bigint, seq bigint"
+    cells = spark.createDataFrame([(1, "c", "q", 50, 10, 3), (1, "c", "q", 50, 12, 4), (1, "c", "q", 40, 99, 9), (2, "c", "q", 5, 1, 0)], kinds)
+    deltas = spark.createDataFrame([(1, "c", "q", 5), (2, "c", "q", 1), (2, "c", "q", 1), (3, "c", "q", 4)], "key bigint, family string, qualifier string, delta bigint")
+    for now in (50, 45):
+        made = mutations.increment(mutations.last_write(cells), deltas, now)
+        newest = {(r["key"], r["version"]): r["value"] for r in made.collect()}
+        assert newest == {(1, 50): 17, (1, 40): 99, (2, 5): 1, (2, now): 3, (3, now): 4}
+
+
+def test_checks_see_the_newest_write(spark):
+    cells = table(spark, [(1, "f", "q", 5, "a", 1), (1, "f", "q", 5, "b", 2), (2, "f", "q", 5, "a", 1)], ", seq bigint")
+    expected = spark.createDataFrame([(1, "f", "q", "b"), (2, "f", "q", "b"), (3, "f", "q", None)], "key bigint, family string, qualifier string, value string")
+    puts = table(spark, [(k, "f", "q", 5, "new") for k in (1, 2, 3)])
+    made, result = mutations.check_and_put(cells, expected, puts)
+    assert {r["key"]: r["committed"] for r in result.collect()} == {1: True, 2: False, 3: True}
+    assert got(made) == [(1, "f", "q", 5, "new"), (2, "f", "q", 5, "a"), (3, "f", "q", 5, "new")]
+
+
+def test_transactions_stay_open_after_a_failed_check(spark):
+    tx = mutations.RowTransaction(table(spark, [(1, "f", "q", 5, "a")]))
+    with pytest.raises(ValueError):
+        tx.put("f", "q", "x")
+    tx.begin(1).put("f", "q", "b", 6).put("f", "r", "c")
+    with pytest.raises(ValueError):
+        tx.begin(2)
+    assert not tx.check_and_commit("f", "q", "wrong", now=9) and not tx.check_and_commit("f", "q", None, now=9)
+    assert tx.check_and_commit("f", "q", "a", now=9)
+    want = [(1, "f", "q", 5, "a"), (1, "f", "q", 6, "b"), (1, "f", "r", 9, "c")]
+    assert got(tx.cells) == want
+    tx.begin(1).put("f", "q", "gone").rollback()
+    assert tx.begin(3).put("f", "q", "d", 1).check_and_commit("f", "q", None, now=9) and got(tx.cells) == [*want, (3, "f", "q", 1, "d")]
+    assert got(tx.begin(3).put("f", "q", "e", 2).commit(9)) == [*want, (3, "f", "q", 1, "d"), (3, "f", "q", 2, "e")]
+
+
+def test_untouched_cells_pass_a_replay_without_a_window(spark):
+    rows = [(k, "f", "q", v, "x") for k in range(40) for v in range(20)]
+    log = spark.createDataFrame([("delete_row", 3, None, None, 10, None, 1), ("delete_row", 3, None, None, 4, None, 2)], "op string, " + SCHEMA + ", seq bigint")
+    assert got(mutations.replay(table(spark, rows), log)) == [r for r in rows if r[0] != 3 or r[3] > 10]

@@ -1,14 +1,17 @@
 """Reads against literal cells and against a plain Python evaluator."""
 
 import json
+import os
 import random
+import re
 
 import pytest
 
 from wideframe.operators import filters, paging, results
-from wideframe.plans import compiler
+from wideframe.plans import compiler, registry
 from wideframe.plans.layout import CellSchema, Family, Layout, LocalityGroup
 from wideframe.plans.request import ALL_VERSIONS, Column, DataRequest, RequestError
+from wideframe.sources import tables
 
 SCHEMA = "key bigint, family string, qualifier string, version bigint, value string"
 
@@ -199,3 +202,93 @@ def test_filters_reach_the_scan(spark, rows, tmp_path):
     plan = compiler.get(spark.read.parquet(str(tmp_path / "t")), 3, DataRequest.of("f:a", min_version=2))._jdf.queryExecution().executedPlan().toString()
     for part in ("EqualTo(key,3)", "EqualTo(family,f)", "GreaterThanOrEqual(version,2)"):
         assert part in plan
+
+
+# pushed predicates -----------------------------------------------------------------------
+
+SF = "/root/testdata/sf0.001"
+
+
+def scans(df):
+    """What the plan's scans push and read."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return re.findall(r"PushedFilters: (\[.*?\]), ReadSchema", plan)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data here")
+def test_time_ranges_and_row_filters_reach_the_scan(spark):
+    queries = registry.queries()
+    for name in ("top_n_versions", "time_range_versions", "merged_request", "narrow_view", "paged_request"):
+        assert all("GreaterThanOrEqual(ts," in s for s in scans(queries[name](spark, SF))), name
+    assert any("EqualTo(event_type,purchase)" in s for s in scans(queries["has_column_data"](spark, SF)))
+
+
+def test_row_filters_read_only_their_columns(spark, tmp_path):
+    rows = [(k, f, q, v, f"{k}{q}{v}", v) for k in range(6) for f in "fg" for q in "ab" for v in (1, 2)]
+    spark.createDataFrame(rows, "key bigint, family string, qualifier string, version bigint, value string, seq bigint").write.parquet(str(tmp_path / "t"))
+    cells = spark.read.parquet(str(tmp_path / "t"))
+    either = filters.ColumnValueEquals("f", "a", "3a2") | filters.HasColumnData("g", "z")
+    made = compiler.read(cells, DataRequest.of("g:b"), row_filter=either)
+    assert any("Or(And(EqualTo(family,f),EqualTo(qualifier,a)),And(EqualTo(family,g),EqualTo(qualifier,z)))" in s for s in scans(made))
+    assert [r["key"] for r in made.collect()] == [3]
+    keyed = filters.RandomRows(1.0) & filters.KeyComponents((("key", 4),)) & filters.HasColumnData("f", "a")
+    made = compiler.read(cells, DataRequest.of("g:b"), row_filter=keyed)
+    assert all("EqualTo(key,4)" in s for s in scans(made)) and [r["key"] for r in made.collect()] == [4]
+    # a row without the named cells can pass by its key
+    loose = filters.KeyComponents((("key", 2),)) | filters.HasColumnData("f", "nothing")
+    assert [r["key"] for r in compiler.read(cells, DataRequest.of("g:b"), row_filter=loose).collect()] == [2]
+
+
+def test_filters_see_the_newest_write(spark):
+    cells = spark.createDataFrame([(1, "f", "q", 5, "A", 1), (1, "f", "q", 5, "B", 2), (2, "f", "q", 5, "", 4), (2, "f", "q", 5, "x", 3)], "key bigint, family string, qualifier string, version bigint, value string, seq bigint")
+    read = lambda f: [(r["key"], r["value"]) for r in compiler.read(cells, DataRequest.of("f"), row_filter=f).collect()]
+    assert read(filters.ColumnValueEquals("f", "q", "A")) == [] and read(filters.ColumnValueEquals("f", "q", "B")) == [(1, "B")]
+    assert read(filters.HasColumnData("f", "q")) == [(1, "B")]
+    assert [r["value"] for r in paging.version_page(cells.where("key = 1"), 0, 1).collect()] == ["B"]
+
+
+def test_aliases_retention_types_and_pages(spark):
+    family = Family("info", {"a": CellSchema(), "b": CellSchema()}, aliases=("i",))
+    layout = Layout("t", groups={"main": LocalityGroup("main", {"info": family}, max_versions=2, ttl_seconds=10)})
+    rows = [(1, "info", q, v, str(v)) for q in "ab" for v in (1000, 9000, 9500, 9700)]
+    cells = spark.createDataFrame(rows, "key bigint, family string, qualifier string, version bigint, value string")
+    everything = DataRequest.of("i:a", max_versions=9)
+    assert sorted(r["version"] for r in compiler.read(cells, everything, layout).collect()) == [1000, 9000, 9500, 9700]
+    assert sorted(r["version"] for r in compiler.read(cells, everything, layout, now=19600).collect()) == [9700]
+    assert layout.group_of("i").name == "main"
+    typed = compiler.read(cells, DataRequest((Column("i", "a", reader="bigint"),)), layout)
+    assert dict(typed.dtypes)["value"] == "bigint" and typed.first()["value"] == 9700
+    with pytest.raises(RequestError):
+        compiler.read(cells, DataRequest((Column("info", "a", reader="bigint"), Column("info", "b"))), layout)
+    with pytest.raises(RequestError):
+        DataRequest((Column("f", "a", reader="int"),)).merge(DataRequest((Column("f", "a"),)))
+    request = DataRequest((Column("i", "a", max_versions=3, page_size=2), Column("info", "b")))
+    assert [r["qualifier"] for r in compiler.read(cells, request, layout).collect()] == ["b"]
+    assert [[r["version"] for r in p] for p in paging.pages(cells, 1, request, "info:a", layout=layout)] == [[9700, 9500], [9000]]
+    assert [[r["version"] for r in p] for p in paging.pages(cells, 1, request, "info:a", size=1, layout=layout)] == [[9700], [9500], [9000]]
+    families = DataRequest.of("info", page_size=1)
+    assert [[r["qualifier"] for r in p] for p in paging.pages(cells, 1, families, "info", layout=layout)] == [["a"], ["b"]]
+    assert sorted(r["version"] for r in paging.page(cells, request, 1, layout).collect()) == [9000]
+    with pytest.raises(RequestError):
+        next(paging.pages(cells, 1, request, "info:b", layout=layout))
+    with pytest.raises(RequestError):
+        paging.page(cells, DataRequest.of("info"), 0)
+
+
+def test_filters_by_place_have_a_description():
+    made = filters.QualifierRegex("a") & filters.FirstQualifiers(3, filters.QualifierRange("b"))
+    assert filters.from_dict(filters.to_dict(made)) == made
+    with pytest.raises(ValueError):
+        filters.FirstKeyOnly() | filters.StripValues()
+    with pytest.raises(ValueError):
+        filters.FirstQualifiers(0)
+
+
+def test_clock_does_not_depend_on_the_session_zone(spark):
+    df = spark.sql("SELECT TIMESTAMP_NTZ'2024-03-31 02:30:00.000001' AS n, TIMESTAMP'2024-03-31 02:30:00.000001Z' AS z")
+    try:
+        for zone in ("UTC", "Europe/Berlin", "America/Lima"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            assert tuple(df.select(tables.micros("n"), tables.micros("z")).first()) == (1711852200000001,) * 2
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")

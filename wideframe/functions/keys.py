@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import struct
 from typing import Any
 from urllib.parse import unquote_to_bytes
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wideframe.plans.layout import KeyFormat
@@ -94,6 +95,45 @@ def decode(fmt: KeyFormat, key: bytes) -> list[Any]:
     return out
 
 
+def decode_columns(fmt: KeyFormat, key: Column) -> list[Column]:
+    """Components of a formatted key as columns; those that are missing are null."""
+    if fmt.kind != "formatted" or fmt.suppress_materialization:
+        raise ValueError("the key's components are not stored")
+    out, rest = [], F.hex(F.substring(key, fmt.hash_size + 1, 2**31 - 1))  # two digits a byte
+    for name, kind in fmt.components:
+        if kind == "STRING":
+            # the first 00 at a byte's place ends the string
+            end = F.instr(F.regexp_replace(rest, "(..)", "$1 "), "00 ")
+            digits = F.when(end > 0, (end - 1) / 3 * 2).cast("int")
+            text = F.decode(F.unhex(F.substring(rest, F.lit(1), digits)), "UTF-8")
+            out.append(text.alias(name))
+            rest = F.substring(rest, digits + 3, F.char_length(rest))
+        else:
+            size = 8 if kind == "INTEGER" else 16
+            digits = F.substring(rest, 1, size)
+            whole = F.char_length(digits) == size
+            high = F.conv(F.substring(digits, 1, size // 2), 16, 10).cast("bigint") - F.lit(2 ** (size * 2 - 1))
+            value = high * F.lit(2 ** (size * 2)) + F.conv(F.substring(digits, size // 2 + 1, size // 2), 16, 10).cast("bigint")
+            out.append(F.when(whole, value).cast("int" if kind == "INTEGER" else "bigint").alias(name))
+            rest = F.substring(rest, F.lit(size + 1), F.char_length(rest))
+    return out
+
+
+def region_of(key: Column, bounds: list[bytes]) -> Column:
+    """Number of the region that a key falls in, by ascending split keys."""
+    return F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= key)) if bounds else F.lit(0)
+
+
+def read_splits(spark: SparkSession, path: str) -> list[bytes]:
+    """Split keys of a text file, one a line: hexadecimal, or text with ``\\xNN`` for other bytes; blank lines are skipped."""
+    lines = [r["value"].strip() for r in spark.read.text(path).collect()]
+    parse = lambda s: bytes.fromhex(s[4:]) if s.startswith("hex:") else re.sub(rb"\\x([0-9a-fA-F]{2})", lambda m: bytes.fromhex(m[1].decode()), s.encode())
+    out = [parse(s) for s in lines if s]
+    if out != sorted(set(out)):
+        raise ValueError("split keys must ascend")
+    return out
+
+
 def parse_key(text: str, fmt: KeyFormat) -> bytes | list[Any]:
     """A key as written on a command line.
 

@@ -72,6 +72,17 @@ def _can_read(r: Any, w: Any, rn: dict, wn: dict, open_pairs: set) -> bool:
     return True
 
 
+#: Schemas of the Spark types that cells have.
+_OF_TYPE = {"boolean": "boolean", "tinyint": "int", "smallint": "int", "int": "int", "bigint": "long", "float": "float", "double": "double", "string": "string", "binary": "bytes", "void": "null"}
+
+
+def of_type(kind: str) -> str:
+    """Schema of a Spark type."""
+    if kind not in _OF_TYPE:
+        raise TypeError(f"no schema for {kind}")
+    return _OF_TYPE[kind]
+
+
 def infer(value: Any) -> Any:
     """Schema of a plain value."""
     if value is None:

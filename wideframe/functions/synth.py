@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wideframe.operators.order import hash60
+
 
 def pick(values: list[str], seed: int, *key: Column) -> Column:
     """A value drawn by the hash of a key; the same for the same key and seed."""
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(len(values))) + 1).cast("int"))
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (hash60(F.lit(seed), *key) % len(values) + 1).cast("int"))
 
 
 def ngram(values: list[str], n: int, seed: int, *key: Column) -> Column:

@@ -1,28 +1,46 @@
 """Writes and deletes as plans: each takes cells and mutations and returns the new cells.
 
-``seq`` is the order of writes.  Cells that lack it count as written first.
+``seq`` is the order of writes.  Cells that lack it count as written first, new
+writes that lack it as written last.
 """
 
 from __future__ import annotations
 
 import functools
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wideframe.operators.order import age, newest_first, written
 from wideframe.plans.layout import FOREVER, Layout, LayoutError
 from wideframe.plans.request import parse_column
 
 CELL_ID = ["key", "family", "qualifier", "version"]
 COLUMN_ID = ["key", "family", "qualifier"]
+#: Parts that the cells of one deleted row, family or column are dealt into.
+SALTS = 16
 
 
-def put(cells: DataFrame, written: DataFrame, now: int | None = None) -> DataFrame:
-    """Adds cells; of equal (cell, version) the last write wins.  A null version is ``now``."""
+def put(cells: DataFrame, new: DataFrame, now: int | None = None) -> DataFrame:
+    """Adds cells; of equal (cell, version) the last write wins.  A null version is ``now``.
+
+    A new cell without ``seq`` is written after all that the table has, and in a
+    table with ``seq`` gets the next one of its cell.  Cells that are not written
+    over pass without a shuffle where the writes are small enough to be broadcast.
+    """
     if now is not None:
-        written = written.withColumn("version", F.coalesce("version", F.lit(now)))
-    both = cells.unionByName(written, allowMissingColumns=True)
-    return last_write(both)
+        new = new.withColumn("version", F.coalesce("version", F.lit(now)))
+    ids = new.select(*CELL_ID).distinct()
+    kept = cells.join(ids, CELL_ID, "left_anti")
+    fresh = F.col("seq").isNull() if "seq" in new.columns else F.lit(True)
+    both = cells.join(ids, CELL_ID, "left_semi").withColumn("_fresh", F.lit(False)).unionByName(new.withColumn("_fresh", fresh), allowMissingColumns=True)
+    rest = [c for c in both.columns if c not in (*CELL_ID, "_fresh")]
+    last = F.max_by(F.struct(*rest), F.struct(F.col("_fresh"), written(both.columns).alias("seq")))
+    made = both.groupBy(*CELL_ID).agg(last.alias("_r"), F.max(written(both.columns)).alias("_seq"), F.max("_fresh").alias("_new"))
+    value = lambda c: F.when(F.col("_new"), F.col("_seq") + 1).otherwise(F.col("_r.seq")) if c == "seq" else F.col(f"_r.`{c}`")
+    made = made.select(*CELL_ID, *[value(c).alias(c) for c in rest])
+    return kept.unionByName(made, allowMissingColumns=True)
 
 
 def last_write(cells: DataFrame) -> DataFrame:
@@ -30,22 +48,31 @@ def last_write(cells: DataFrame) -> DataFrame:
     rest = [c for c in cells.columns if c not in CELL_ID]
     if "seq" not in cells.columns:
         return cells.dropDuplicates(CELL_ID)
-    one = cells.groupBy(*CELL_ID).agg(F.max_by(F.struct(*rest), F.coalesce("seq", F.lit(-1))).alias("_r"))
+    one = cells.groupBy(*CELL_ID).agg(F.max_by(F.struct(*rest), written(cells.columns)).alias("_r"))
     return one.select(*CELL_ID, *[F.col(f"_r.`{c}`").alias(c) for c in rest]).select(*cells.columns)
 
 
+def _current(cells: DataFrame, targets: DataFrame) -> DataFrame:
+    """(column, _now, _version) of the newest cells of the target columns."""
+    mine = cells.join(targets.select(*COLUMN_ID).distinct(), COLUMN_ID, "left_semi")
+    return mine.groupBy(*COLUMN_ID).agg(F.max_by(F.struct("value"), age(cells.columns)).alias("_cell"), F.max("version").alias("_version")).select(*COLUMN_ID, F.col("_cell.value").alias("_now"), "_version")
+
+
 def increment(cells: DataFrame, deltas: DataFrame, now: int, layout: Layout | None = None, columns: list[str] | None = None) -> DataFrame:
-    """Adds (key, family, qualifier, delta) to counters: one new cell at ``now`` for each counter."""
+    """Adds (key, family, qualifier, delta) to counters: one new cell for each counter.
+
+    The sum is written at ``now``, or at the counter's newest version if that is later.
+    """
     if layout is not None:
         for name in columns or []:
             family, qualifier = parse_column(name)
             if not layout.schema_of(family, qualifier or "").is_counter:
                 raise LayoutError(f"{name} is no counter")
     total = deltas.groupBy(*COLUMN_ID).agg(F.sum("delta").alias("delta"))
-    current = cells.groupBy(*COLUMN_ID).agg(F.max_by("value", "version").alias("current"))
     kind = dict(cells.dtypes)["value"]
-    made = total.join(current, COLUMN_ID, "left").select(*COLUMN_ID, F.lit(now).cast("bigint").alias("version"), (F.coalesce(F.col("current").cast("bigint"), F.lit(0)) + F.col("delta")).cast(kind).alias("value"))
-    return put(cells.withColumn("seq", F.coalesce("seq", F.lit(0))) if "seq" in cells.columns else cells.withColumn("seq", F.lit(0)), made.withColumn("seq", F.lit(1))).select(*cells.columns)
+    version = F.greatest(F.lit(now).cast("bigint"), F.col("_version"))  # skips nulls
+    made = total.join(_current(cells, total), COLUMN_ID, "left").select(*COLUMN_ID, version.alias("version"), (F.coalesce(F.col("_now").cast("bigint"), F.lit(0)) + F.col("delta")).cast(kind).alias("value"))
+    return put(cells, made).select(*cells.columns)
 
 
 def delete(cells: DataFrame, targets: DataFrame, level: str, up_to: int | None = None) -> DataFrame:
@@ -76,23 +103,27 @@ def replay(cells: DataFrame, log: DataFrame) -> DataFrame:
     The log has op (put, delete_row, delete_family, delete_column, delete_cell),
     key, family, qualifier, version, value and seq; a delete's null version
     means all.  A delete hides what was written before it, not what comes later.
-    Tombstones are reduced to the latest that covers a cell by a window over the
-    cell's own row, so no two-sided range join is made.
+    The latest tombstone that covers a cell is found by a window over the cells of
+    deleted rows, families and columns only, dealt into ``SALTS`` parts each; other
+    cells pass by.
     """
     base = cells if "seq" in cells.columns else cells.withColumn("seq", F.lit(-1).cast("bigint"))
     puts = log.where("op = 'put'").select(*base.columns)
-    written = last_write(base.unionByName(puts))
+    out = last_write(base.unionByName(puts))
     levels = {"delete_row": COLUMN_ID[:1], "delete_family": COLUMN_ID[:2], "delete_column": COLUMN_ID}
-    out = written.withColumn("_kill", F.lit(False)) if "_kill" not in written.columns else written
     for op, by in levels.items():
-        stones = log.where(F.col("op") == op).select(*by, F.coalesce("version", F.lit(2**63 - 1)).alias("version"), F.col("seq").alias("_stone"))
+        stones = log.where(F.col("op") == op).groupBy(*by, F.coalesce("version", F.lit(2**63 - 1)).alias("version")).agg(F.max("seq").alias("_stone"))
+        named = stones.select(*by).distinct()
+        salt = F.pmod(F.xxhash64(*COLUMN_ID, "version"), F.lit(SALTS)).cast("int")
+        touched = out.join(named, by, "left_semi").withColumn("_salt", salt).withColumn("_stone", F.lit(None).cast("bigint"))
+        stones = stones.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         # the latest tombstone among those with at least the cell's version
-        marked = out.withColumn("_stone", F.lit(None).cast("bigint")).unionByName(stones, allowMissingColumns=True)
-        over = Window.partitionBy(*by).orderBy(F.desc("version")).rangeBetween(Window.unboundedPreceding, 0)
-        marked = marked.withColumn("_last", F.max("_stone").over(over)).where("_stone is null")
-        out = marked.withColumn("_kill", F.col("_kill") | F.coalesce(F.col("_last") > F.col("seq"), F.lit(False))).drop("_stone", "_last")
+        over = Window.partitionBy(*by, "_salt").orderBy(F.desc("version")).rangeBetween(Window.unboundedPreceding, 0)
+        marked = touched.unionByName(stones, allowMissingColumns=True).withColumn("_last", F.max("_stone").over(over)).where("_stone is null")
+        marked = marked.where(~F.coalesce(F.col("_last") > F.col("seq"), F.lit(False))).select(*out.columns)
+        out = out.join(named, by, "left_anti").unionByName(marked)
     exact = log.where("op = 'delete_cell' and version is not null").groupBy(*CELL_ID).agg(F.max("seq").alias("_last"))
-    out = out.join(exact, CELL_ID, "left").where(~F.col("_kill") & ~F.coalesce(F.col("_last") > F.col("seq"), F.lit(False)))
+    out = out.join(exact, CELL_ID, "left").where(~F.coalesce(F.col("_last") > F.col("seq"), F.lit(False)))
     return out.select(*cells.columns)
 
 
@@ -110,12 +141,62 @@ def check_and_put(cells: DataFrame, expected: DataFrame, puts: DataFrame) -> tup
     ``expected`` has key, family, qualifier and value; a null value expects no
     cell.  Atomic for a single writer only: Spark has no lock between jobs.
     """
-    current = cells.join(expected.select(*COLUMN_ID).distinct(), COLUMN_ID, "left_semi").groupBy(*COLUMN_ID).agg(F.max_by("value", "version").alias("_now"), F.count(F.lit(1)).alias("_n"))
-    held: Column = F.when(F.col("value").isNull(), F.col("_n").isNull()).otherwise(F.coalesce(F.col("_now") == F.col("value"), F.lit(False)))
-    result = expected.join(current, COLUMN_ID, "left").groupBy("key").agg(F.bool_and(held).alias("committed"))
+    joined = expected.join(_current(cells, expected), COLUMN_ID, "left")
+    held: Column = F.when(F.col("value").isNull(), F.col("_version").isNull()).otherwise(F.coalesce(F.col("_now") == F.col("value"), F.lit(False)))
+    result = joined.groupBy("key").agg(F.bool_and(held).alias("committed"))
     return put(cells, puts.join(result.where("committed"), "key", "left_semi")), result
 
 
+class RowTransaction:
+    """Puts on one row that are committed together or not at all.
+
+    A commit returns the table's new cells; storing them is the caller's step,
+    by a single writer.  After a failed check the transaction stays open.
+    """
+
+    def __init__(self, cells: DataFrame):
+        self.cells, self.key = cells, None
+        self._puts: list[tuple] = []
+
+    def begin(self, key: Any) -> RowTransaction:
+        if self.key is not None:
+            raise ValueError("a transaction is already open")
+        self.key, self._puts = key, []
+        return self
+
+    def put(self, family: str, qualifier: str, value: Any, version: int | None = None) -> RowTransaction:
+        self._open()
+        self._puts.append((self.key, family, qualifier, version, value))
+        return self
+
+    def _open(self) -> None:
+        if self.key is None:
+            raise ValueError("no transaction is open")
+
+    def _frame(self, rows: list[tuple], columns: list[str]) -> DataFrame:
+        kinds = {**dict(self.cells.dtypes), "version": "bigint"}
+        return self.cells.sparkSession.createDataFrame(rows, ", ".join(f"{c} {kinds[c]}" for c in columns))
+
+    def commit(self, now: int) -> DataFrame:
+        self._open()
+        self.cells = put(self.cells, self._frame(self._puts, [*CELL_ID, "value"]), now)
+        self.key = None
+        return self.cells
+
+    def check_and_commit(self, family: str, qualifier: str, value: Any, now: int) -> bool:
+        """Commits if the newest cell of a column has a value (None: if there is no cell)."""
+        self._open()
+        expected = self._frame([(self.key, family, qualifier, value)], [*COLUMN_ID, "value"])
+        if not check_and_put(self.cells.where(F.col("key") == F.lit(self.key)), expected, self._frame([], [*CELL_ID, "value"]))[1].first()["committed"]:
+            return False
+        self.commit(now)
+        return True
+
+    def rollback(self) -> None:
+        self._open()
+        self.key, self._puts = None, []
+
+
 def retain(cells: DataFrame, layout: Layout, now: int, per_second: int = 1000) -> DataFrame:
     """What a table keeps: each locality group's newest versions and live cells.
 
@@ -129,8 +210,7 @@ def retain(cells: DataFrame, layout: Layout, now: int, per_second: int = 1000) -
             limit = F.when(here, group.max_versions).otherwise(limit)
         if group.ttl_seconds < FOREVER:
             oldest = F.when(here, now - group.ttl_seconds * per_second).otherwise(oldest)
-    order = [F.desc("version"), *([F.desc("seq")] if "seq" in cells.columns else [])]
-    turn = F.row_number().over(Window.partitionBy(*COLUMN_ID).orderBy(*order))
+    turn = F.row_number().over(Window.partitionBy(*COLUMN_ID).orderBy(*newest_first(cells.columns)))
     kept = cells
     if any(g.max_versions < FOREVER for g in layout.groups.values()):
         kept = kept.withColumn("_turn", turn).where(F.col("_turn") <= limit).drop("_turn")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wideframe.operators.order import newest_first
 from wideframe.plans.compiler import newest
 from wideframe.plans.request import parse_column
 
@@ -18,7 +19,7 @@ def narrow(cells: DataFrame, column: str) -> DataFrame:
 
 def ordered(cells: DataFrame) -> DataFrame:
     """By key, column ascending, newest first."""
-    return cells.orderBy("key", "family", "qualifier", F.desc("version"))
+    return cells.orderBy("key", "family", "qualifier", *newest_first(cells.columns))
 
 
 def count_columns(cells: DataFrame) -> DataFrame:
@@ -33,7 +34,20 @@ def latest(cells: DataFrame) -> DataFrame:
 
 def first_cell(cells: DataFrame) -> DataFrame:
     """First cell of each row, in result order."""
-    return newest_by(cells, ["key"], [F.col("family"), F.col("qualifier"), F.desc("version")])
+    return newest_by(cells, ["key"], [F.col("family"), F.col("qualifier"), *newest_first(cells.columns)])
+
+
+def by_components(rows: DataFrame, components: list[str]) -> DataFrame:
+    """Rows with ``place``, their place (from 1) by key components, nulls first, in range partitions.
+
+    Places are counted within ranges and carried over their totals, so no task holds all rows.
+    """
+    order = [F.asc_nulls_first(c) for c in components]
+    dealt = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    totals = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return dealt.withColumn("_inside", inside).join(F.broadcast(totals), "_part").withColumn("place", F.col("_before") + F.col("_inside")).drop("_part", "_inside", "_before")
 
 
 def newest_by(cells: DataFrame, by: list[str], order: list) -> DataFrame:

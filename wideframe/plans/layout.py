@@ -161,7 +161,7 @@ class Layout:
         return next((f for f in self.families.values() if name == f.name or name in f.aliases), None)
 
     def group_of(self, family: str) -> LocalityGroup | None:
-        return next((g for g in self.groups.values() if family in g.families), None)
+        return next((g for g in self.groups.values() if any(family == f.name or family in f.aliases for f in g.families.values())), None)
 
     def schema_of(self, family: str, qualifier: str) -> CellSchema:
         f = self.family(family)
@@ -273,7 +273,7 @@ def register(layout: Layout, family: str, qualifier: str | None, schema: Any, ro
         raise LayoutError(f"table {layout.name!r} has no column {family}:{qualifier}")
     made = old if schema in getattr(old, role) else replace(old, **{role: (*getattr(old, role), schema)})
     changed = replace(own, map_schema=made) if own.is_map else replace(own, columns=own.columns | {qualifier: made})
-    return replace(layout, groups=layout.groups | {group.name: replace(group, families=group.families | {family: changed})})
+    return replace(layout, groups=layout.groups | {group.name: replace(group, families=group.families | {own.name: changed})})
 
 
 def check_write(layout: Layout, family: str, qualifier: str, schema: Any) -> Layout:

@@ -9,17 +9,18 @@ Cells are shaped from three tables:
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wideframe.functions import keys
+from wideframe.functions import keys, synth
 from wideframe.operators import filters, mutations, paging, results
 from wideframe.plans import compiler
 from wideframe.plans.layout import CellSchema, Family, KeyFormat, Layout, LocalityGroup
 from wideframe.plans.request import ALL_VERSIONS, Column, DataRequest
-from wideframe.sources import tables
+from wideframe.sources import catalog, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,14 +37,22 @@ ORDERS = (
 )
 LINES = "cells AS (SELECT l_orderkey, l_linenumber, 'line' AS family, 'quantity' AS qualifier, epoch_us(l_shipdate) AS version, l_quantity AS value FROM lineitem)"
 ALL = "key, family, qualifier, version, value"
+#: 60-bit hash of a value as text.
+HASH60 = "CAST('0x' || substr(md5(CAST({} AS VARCHAR)), 1, 15) AS BIGINT)"
+_SEEDED = "'1:' || key"
+#: One cell for each (cell, version), the last one written.
+WRITTEN = "one AS (SELECT * FROM cells QUALIFY row_number() OVER (PARTITION BY key, family, qualifier, version ORDER BY seq DESC) = 1)"
 #: Latest cell of each column by version, then seq.
 LAST = "QUALIFY row_number() OVER (PARTITION BY key, family, qualifier ORDER BY version DESC{seq}) <= {n}"
 
 PAIR = KeyFormat(components=(("l_orderkey", "LONG"), ("l_linenumber", "INTEGER")), hash_size=2, range_scan_from=1)
 
 
-def event_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.cells(spark.read.parquet(f"{sf_dir}/events.parquet"), "user_id", F.lit("activity"), "event_type", tables.micros("ts"), "value")
+def event_cells(spark: SparkSession, sf_dir: str, request: DataRequest | None = None) -> DataFrame:
+    """Cells of events; with a request, only those of its time range, which the scan then skips by ``ts``."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    rows = rows if request is None else tables.in_time(rows, "ts", request)
+    return tables.cells(rows, "user_id", F.lit("activity"), "event_type", tables.micros("ts"), "value")
 
 
 def order_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,9 +83,13 @@ def _flat(cells: DataFrame) -> DataFrame:
     return columns.select("key", "family", "qualifier", F.explode("versions").alias("version", "value"))
 
 
+def _events(spark: SparkSession, sf_dir: str, request: DataRequest) -> DataFrame:
+    return compiler.read(event_cells(spark, sf_dir, request), request)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Newest two versions of every (user, event type) cell in a time range."""
-    return compiler.read(event_cells(spark, sf_dir), DataRequest.of("activity", max_versions=2, min_version=T0, max_version=T1))
+    return _events(spark, sf_dir, DataRequest.of("activity", max_versions=2, min_version=T0, max_version=T1))
 
 
 _QUERIES: dict[str, tuple[Query, str | None]] = {}
@@ -105,7 +118,7 @@ def latest_value(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"WITH {EVENTS} SELECT {ALL} FROM cells WHERE version >= {T0} AND version < {T1}")
 def time_range_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compiler.read(event_cells(spark, sf_dir), DataRequest.of("activity", max_versions=ALL_VERSIONS, min_version=T0, max_version=T1))
+    return _events(spark, sf_dir, DataRequest.of("activity", max_versions=ALL_VERSIONS, min_version=T0, max_version=T1))
 
 
 @_query(f"WITH {LINES} SELECT l_orderkey, l_linenumber, version, value FROM cells WHERE version = {NOW - 700 * DAY}")
@@ -134,9 +147,9 @@ def row_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compiler.read(paging.row_limit(event_cells(spark, sf_dir), 25), DataRequest.of("activity"))
 
 
-@_query(None)
+@_query(f"WITH {EVENTS} SELECT {ALL} FROM cells WHERE {HASH60.format('key')} >= {1 << 58} AND {HASH60.format('key')} < {3 << 58} {LAST.format(seq='', n=1)}")
 def token_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compiler.token_scan(event_cells(spark, sf_dir), DataRequest.of("activity"), start=0)
+    return compiler.token_scan(event_cells(spark, sf_dir), DataRequest.of("activity"), start=1 << 58, stop=3 << 58)
 
 
 @_query(f"WITH {ORDERS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY key, family, qualifier ORDER BY version DESC, seq DESC) AS n FROM cells) SELECT {ALL} FROM ranked WHERE n <= CASE qualifier WHEN 'status' THEN 3 ELSE 1 END")
@@ -149,7 +162,7 @@ def mixed_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def merged_request(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = DataRequest.of("activity:click", max_versions=2, min_version=T0, max_version=T1)
     other = DataRequest.of("activity:click", "activity:purchase", max_versions=4, min_version=T0 + DAY, max_version=T1 + DAY)
-    return compiler.read(event_cells(spark, sf_dir), one.merge(other))
+    return _events(spark, sf_dir, one.merge(other))
 
 
 @_query("SELECT DISTINCT user_id AS key FROM events UNION SELECT o_custkey FROM orders")
@@ -169,7 +182,7 @@ def has_column_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"WITH {ORDERS}, latest AS (SELECT * FROM cells {LAST.format(seq=', seq DESC', n=1)}) SELECT {ALL} FROM latest WHERE key IN (SELECT key FROM latest WHERE qualifier = 'status' AND value = 'F')")
 def column_value_equals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = mutations.last_write(order_cells(spark, sf_dir))
+    cells = order_cells(spark, sf_dir)
     return _shown(compiler.read(cells, DataRequest.of("order"), row_filter=filters.ColumnValueEquals("order", "status", "F")))
 
 
@@ -180,7 +193,7 @@ def column_value_equals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def and_or_row_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = filters.ColumnValueEquals("order", "status", "F") | filters.ColumnValueEquals("order", "status", "P")
     both = status & filters.ColumnValueEquals("order", "priority", "1-URGENT")
-    return _shown(compiler.read(mutations.last_write(order_cells(spark, sf_dir)), DataRequest.of("order"), row_filter=both))
+    return _shown(compiler.read(order_cells(spark, sf_dir), DataRequest.of("order"), row_filter=both))
 
 
 @_query(f"WITH {LINES} SELECT l_orderkey, l_linenumber, family, qualifier, version, value FROM cells WHERE l_linenumber = 2")
@@ -189,7 +202,7 @@ def formatted_key_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("l_orderkey", "l_linenumber", "family", "qualifier", "version", "value")
 
 
-@_query(None)
+@_query(f"WITH {EVENTS} SELECT {ALL} FROM cells WHERE {HASH60.format(_SEEDED)} < {1 << 59} {LAST.format(seq='', n=1)}")
 def random_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compiler.read(event_cells(spark, sf_dir), DataRequest.of("activity"), row_filter=filters.RandomRows(0.5, seed=1))
 
@@ -236,6 +249,29 @@ def first_key_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paging.first_key_only(event_cells(spark, sf_dir))
 
 
+@_query(f"WITH {EVENTS}, names AS (SELECT *, dense_rank() OVER (PARTITION BY key, family ORDER BY qualifier) AS n FROM cells WHERE qualifier >= 'c') SELECT {ALL} FROM names WHERE n <= 2 {LAST.format(seq='', n=3)}")
+def first_qualifiers_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First qualifiers of those that an inner filter leaves, within a request."""
+    request = DataRequest((Column("activity", max_versions=3, filter=filters.FirstQualifiers(2, filters.QualifierRange("c"))),))
+    return compiler.read(event_cells(spark, sf_dir), request)
+
+
+@_query(f"WITH {EVENTS} SELECT {ALL} FROM cells WHERE qualifier >= 'c' QUALIFY row_number() OVER (PARTITION BY key ORDER BY family, qualifier, version DESC) = 1")
+def first_key_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _filtered(spark, sf_dir, filters.QualifierRange("c") & filters.FirstKeyOnly())
+
+
+@_query(f"WITH {EVENTS} SELECT key, family, qualifier, version, CAST(8 AS DOUBLE) AS value FROM cells {LAST.format(seq='', n=1)}")
+def byte_sizes_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _filtered(spark, sf_dir, filters.ByteSizes())
+
+
+@_query(f"WITH {EVENTS} SELECT key, family, qualifier, version, CAST(trunc(value) AS INTEGER) AS value FROM cells WHERE qualifier = 'purchase' {LAST.format(seq='', n=1)}")
+def read_as(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column read as another type than it is stored as."""
+    return compiler.read(event_cells(spark, sf_dir), DataRequest((Column("activity", "purchase", reader="int"),)))
+
+
 @_query("SELECT conv_id AS key, role AS qualifier, turn AS version, CAST(strlen(text) AS INTEGER) AS n_bytes FROM conversations")
 def cell_byte_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = tables.cells(spark.read.parquet(f"{sf_dir}/conversations.parquet"), "conv_id", F.lit("turn"), "role", "turn", "text")
@@ -281,6 +317,34 @@ def column_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.project(event_cells(spark, sf_dir), "column")
 
 
+@_query(f"WITH {EVENTS} SELECT key, version FROM cells")
+def version_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.project(event_cells(spark, sf_dir), "version")
+
+
+@_query(f"WITH {EVENTS} SELECT key, value FROM cells")
+def value_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.project(event_cells(spark, sf_dir), "value")
+
+
+@_query("SELECT o_orderkey, nullif(o_orderstatus, 'F') AS status, row_number() OVER (ORDER BY nullif(o_orderstatus, 'F') NULLS FIRST, o_orderkey) AS place FROM orders")
+def key_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of keys by their components, nulls first."""
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.nullif("o_orderstatus", F.lit("F")).alias("status"))
+    return results.by_components(rows, ["status", "o_orderkey"])
+
+
+@_query(
+    f"WITH {EVENTS}, known(schema_id, schema) AS (VALUES (4, '\"int\"'), (5, '\"string\"'), (8, '\"double\"')) "
+    "SELECT key, qualifier, version, schema FROM (SELECT *, length(qualifier) AS schema_id FROM cells) LEFT JOIN known USING (schema_id)"
+)
+def schemas_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells with their writers' schemas."""
+    known = spark.createDataFrame([(4, '"int"'), (5, '"string"'), (8, '"double"')], "schema_id int, schema string")
+    cells = event_cells(spark, sf_dir).withColumn("schema_id", F.length("qualifier"))
+    return catalog.with_schemas(cells, known).select("key", "qualifier", "version", "schema")
+
+
 @_query(f"WITH {EVENTS} SELECT key, family, qualifier, count(*) AS n, max_by(value, version) AS newest, min_by(value, version) AS oldest FROM cells GROUP BY ALL")
 def materialize(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = results.materialize(event_cells(spark, sf_dir))
@@ -305,6 +369,22 @@ def version_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paging.version_page(event_cells(spark, sf_dir), 1, 2)
 
 
+@_query(
+    f"WITH {EVENTS}, clicks AS (SELECT * FROM cells WHERE qualifier = 'click' AND version >= {T0} {LAST.format(seq='', n=5)}) "
+    f"SELECT {ALL} FROM clicks QUALIFY row_number() OVER (PARTITION BY key ORDER BY version DESC) BETWEEN 3 AND 4"
+)
+def paged_request(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page of a request's paged column, of every row."""
+    request = DataRequest((Column("activity", "click", max_versions=5, page_size=2), Column("activity", "view")), min_version=T0)
+    return paging.page(event_cells(spark, sf_dir, request), request, 1)
+
+
+@_query(f"WITH {EVENTS}, latest AS (SELECT * FROM cells {LAST.format(seq='', n=1)}) SELECT {ALL} FROM latest QUALIFY row_number() OVER (PARTITION BY key, family ORDER BY qualifier) BETWEEN 3 AND 4")
+def paged_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page of a family's qualifiers, with their newest cells."""
+    return paging.page(event_cells(spark, sf_dir), DataRequest.of("activity", page_size=2), 1)
+
+
 @_query(f"WITH {EVENTS}, names AS (SELECT DISTINCT key, family, qualifier FROM cells) SELECT * FROM names QUALIFY row_number() OVER (PARTITION BY key, family ORDER BY qualifier) BETWEEN 3 AND 4")
 def qualifier_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paging.qualifier_page(event_cells(spark, sf_dir), 1, 2)
@@ -351,7 +431,14 @@ def delete_exact_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"WITH {ORDERS} SELECT {ALL} FROM cells QUALIFY row_number() OVER (PARTITION BY key, family, qualifier, version ORDER BY seq DESC) = 1")
 def put_last_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = order_cells(spark, sf_dir)
-    return _shown(mutations.put(cells.where("seq % 2 = 0"), cells.where("seq % 2 = 1")))
+    return _shown(mutations.put(mutations.last_write(cells.where("seq % 2 = 0")), cells.where("seq % 2 = 1")))
+
+
+@_query(f"WITH {ORDERS}, {WRITTEN} SELECT key, family, qualifier, version, CASE WHEN qualifier = 'status' AND value = 'O' THEN 'X' ELSE value END AS value FROM one")
+def put_over_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes without ``seq`` over existing versions."""
+    cells = mutations.last_write(order_cells(spark, sf_dir))
+    return _shown(mutations.put(cells, cells.where("qualifier = 'status' and value = 'O'").withColumn("value", F.lit("X")).drop("seq")))
 
 
 @_query(f"SELECT key, family, qualifier, {NOW} AS version, value FROM (SELECT user_id AS key, 'count' AS family, event_type AS qualifier, count(*) AS value FROM events GROUP BY ALL)")
@@ -361,12 +448,33 @@ def counter_increment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mutations.increment(none, deltas, NOW)
 
 
-@_query(f"WITH {ORDERS}, latest AS (SELECT * FROM cells {LAST.format(seq=', seq DESC', n=1)}) SELECT key, bool_or(qualifier = 'status' AND value = 'O') AS committed FROM latest GROUP BY key")
-def check_and_put(spark: SparkSession, sf_dir: str) -> DataFrame:
+@_query(f"SELECT user_id AS key, 'count' AS family, event_type AS qualifier, {T0} AS version, 2 * count(*) AS value FROM events GROUP BY ALL")
+def increment_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters that are there already, with a newest version after the clock and a ``seq``."""
+    events = event_cells(spark, sf_dir).select("key", F.lit("count").alias("family"), "qualifier")
+    counters = events.groupBy("key", "family", "qualifier").agg(F.count(F.lit(1)).alias("value")).select("key", "family", "qualifier", F.lit(T0).alias("version"), "value", F.lit(9).cast("bigint").alias("seq"))
+    return _shown(mutations.increment(counters, events.withColumn("delta", F.lit(1).cast("bigint")), T0 - DAY))
+
+
+def _checked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     cells = mutations.last_write(order_cells(spark, sf_dir))
     expected = cells.select("key").distinct().select("key", F.lit("order").alias("family"), F.lit("status").alias("qualifier"), F.lit("O").alias("value"))
-    puts = expected.select("key", "family", "qualifier", F.lit(NOW).alias("version"), F.lit("X").alias("value"))
-    return mutations.check_and_put(cells, expected, puts)[1]
+    puts = expected.select("key", "family", "qualifier", F.lit(NOW + 1).alias("version"), F.lit("X").alias("value"))
+    return mutations.check_and_put(cells, expected, puts)
+
+
+@_query(f"WITH {ORDERS}, latest AS (SELECT * FROM cells {LAST.format(seq=', seq DESC', n=1)}) SELECT key, bool_or(qualifier = 'status' AND value = 'O') AS committed FROM latest GROUP BY key")
+def check_and_put(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _checked(spark, sf_dir)[1]
+
+
+@_query(
+    f"WITH {ORDERS}, {WRITTEN}, latest AS (SELECT * FROM cells {LAST.format(seq=', seq DESC', n=1)}) SELECT {ALL} FROM one "
+    f"UNION ALL SELECT key, 'order', 'status', {NOW + 1}, 'X' FROM latest WHERE qualifier = 'status' AND value = 'O'"
+)
+def check_and_put_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table's cells after such writes."""
+    return _shown(_checked(spark, sf_dir)[0])
 
 
 @_query(f"WITH {EVENTS} SELECT {ALL} FROM cells WHERE qualifier <> 'view' UNION ALL SELECT key, family, qualifier, version, -1.0 FROM cells WHERE qualifier = 'view' AND version >= {T1}")
@@ -376,13 +484,24 @@ def flush_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mutations.flush(cells, [("column", view)], [view.where(F.col("version") >= T1).withColumn("value", F.lit(-1.0))])
 
 
-@_query(f"WITH {EVENTS} SELECT {ALL} FROM cells WHERE NOT (version <= {T0} AND key % 2 = 0) AND NOT (qualifier = 'click' AND version < {T1} AND version > {T0} AND key % 2 = 0 AND key < 20)")
+@_query(
+    f"WITH {EVENTS} SELECT key, family, qualifier, version, CASE WHEN qualifier = 'view' THEN -1.0 WHEN qualifier = 'purchase' AND version >= {T1 + DAY} THEN 7.0 ELSE value END AS value FROM cells "
+    f"WHERE CASE qualifier WHEN 'view' THEN version > {T0 - 2 * DAY} WHEN 'click' THEN version > {T1} WHEN 'purchase' THEN version > {T0} AND (version < {T1} OR version >= {T1 + DAY}) ELSE version > {T0} END"
+)
 def replay_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows up to T0, a re-put column, families up to an earlier time, a column up to T1, exact cells, and puts after it all."""
     cells = event_cells(spark, sf_dir)
-    rows = cells.where("key % 2 = 0").select("key").distinct().select(F.lit("delete_row").alias("op"), "key", F.lit(T0).alias("version"), F.lit(1).cast("bigint").alias("seq"))
-    exact = cells.where(f"key % 2 = 0 and key < 20 and qualifier = 'click' and version < {T1}").select(F.lit("delete_cell").alias("op"), "key", "family", "qualifier", "version", F.lit(2).cast("bigint").alias("seq"))
-    log = rows.unionByName(exact, allowMissingColumns=True).withColumn("value", F.lit(None).cast("double"))
-    return _shown(mutations.replay(cells, log))
+    named = lambda rows, op, seq, *columns: rows.select(F.lit(op).alias("op"), *columns, F.lit(seq).cast("bigint").alias("seq"))
+    view, purchase = cells.where("qualifier = 'view'"), cells.where("qualifier = 'purchase'")
+    log = [
+        named(cells.select("key").distinct(), "delete_row", 1, "key", F.lit(T0).alias("version")),
+        named(view.withColumn("value", F.lit(-1.0)), "put", 2, *compiler.CELL),
+        named(cells.select("key", "family").distinct(), "delete_family", 3, "key", "family", F.lit(T0 - 2 * DAY).alias("version")),
+        named(cells.where("qualifier = 'click'").select("key", "family", "qualifier").distinct(), "delete_column", 4, "key", "family", "qualifier", F.lit(T1).alias("version")),
+        named(purchase.where(F.col("version") >= T1), "delete_cell", 5, "key", "family", "qualifier", "version"),
+        named(purchase.where(F.col("version") >= T1 + DAY).withColumn("value", F.lit(7.0)), "put", 6, *compiler.CELL),
+    ]
+    return _shown(mutations.replay(cells, functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), log)))
 
 
 @_query(f"WITH {ORDERS} SELECT {ALL} FROM cells {LAST.format(seq=', seq DESC', n=2)}")
@@ -390,6 +509,16 @@ def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(mutations.retain(order_cells(spark, sf_dir), order_layout(2, 2**31 - 1), NOW, per_second=1_000_000))
 
 
+@_query(
+    f"WITH {ORDERS}, kept AS (SELECT * FROM cells {LAST.format(seq=', seq DESC', n=3)}), live AS (SELECT * FROM kept WHERE version >= {NOW - 900 * DAY}) "
+    f"SELECT {ALL} FROM live WHERE qualifier = 'status' {LAST.format(seq=', seq DESC', n=2)}"
+)
+def retained_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A read of what a table retains."""
+    request, layout = DataRequest.of("order:status", max_versions=2), order_layout(3, 900 * 86400)
+    return _shown(compiler.read(order_cells(spark, sf_dir), request, layout, now=NOW, per_second=1_000_000))
+
+
 @_query(f"WITH {ORDERS} SELECT {ALL} FROM cells WHERE version >= {NOW - 400 * DAY}")
 def time_to_live(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(mutations.retain(order_cells(spark, sf_dir), order_layout(2**31 - 1, 400 * 86400), NOW, per_second=1_000_000))
@@ -413,6 +542,54 @@ def key_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select("l_orderkey", "l_linenumber", F.lower(F.hex(F.substring("key", 3, 12))).alias("tail"))
 
 
+_LONG, _INT = "printf('%016x', CAST(l_orderkey AS HUGEINT) + 9223372036854775808)", "printf('%08x', CAST(l_linenumber AS BIGINT) + 2147483648)"
+
+
+@_query(f"SELECT l_orderkey, l_linenumber, substr(md5(unhex({_LONG})), 1, 4) || {_LONG} || {_INT} AS key_hex FROM lineitem")
+def key_encode_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formatted keys with the hash that they begin with."""
+    return line_cells(spark, sf_dir).select("l_orderkey", "l_linenumber", F.lower(F.hex("key")).alias("key_hex"))
+
+
+@_query("SELECT l_orderkey, l_linenumber FROM lineitem")
+def key_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_cells(spark, sf_dir).select(*keys.decode_columns(PAIR, F.col("key")))
+
+
+@_query("SELECT c_name, c_nationkey, CASE WHEN c_acctbal > 0 THEN c_mktsegment END AS c_mktsegment FROM customer")
+def key_decode_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text components, the last of which may be missing."""
+    fmt = KeyFormat(components=(("c_name", "STRING"), ("c_nationkey", "INTEGER"), ("c_mktsegment", "STRING")), hash_size=4, nullable_from=2)
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    key = keys.encode_key(fmt, F.col("c_name"), F.col("c_nationkey"), F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment")))
+    return rows.select(key.alias("key")).select(*keys.decode_columns(fmt, F.col("key")))
+
+
+@_query(f"SELECT CAST('0x' || substr(md5(unhex({_LONG})), 1, 1) AS INTEGER) AS region, count(*) AS n_keys FROM lineitem GROUP BY region")
+def split_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys in each of 16 equal regions of the hashed key space."""
+    region = keys.region_of(F.col("key"), keys.splits(16, PAIR.hash_size))
+    return line_cells(spark, sf_dir).groupBy(region.alias("region")).agg(F.count(F.lit(1)).alias("n_keys"))
+
+
+NAMES, HOSTS = ["Ada", "Bo", "Cy", "Di", "Ed"], ["mail.example.com", "post.example.org"]
+
+
+def _picked(names: list[str], seed: int) -> str:
+    return f"list_extract({names!r}, CAST({HASH60.format(f"'{seed}:' || key")} % {len(names)} AS INTEGER) + 1)"
+
+
+_USERS = f"users AS (SELECT c_custkey AS key, {_picked(NAMES, 3)} || ' ' || {_picked(NAMES, 4)} AS name, lower({_picked(NAMES, 3)}) || '.' || lower({_picked(NAMES, 4)}) || '@' || {_picked(HOSTS, 5)} AS email FROM customer)"
+
+
+@_query(f"WITH {_USERS} SELECT key, name, email FROM users")
+def synthetic_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names and mail addresses drawn by key and seed."""
+    key = F.col("key")
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("key"))
+    return rows.select("key", synth.ngram(NAMES, 2, 3, key).alias("name"), synth.email(NAMES, HOSTS, 3, key).alias("email"))
+
+
 def queries() -> dict[str, Query]:
     return {name: function for name, (function, _) in _QUERIES.items()}
 

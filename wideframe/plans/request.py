@@ -30,13 +30,14 @@ def parse_column(name: str) -> tuple[str, str | None]:
 
 @dataclass(frozen=True)
 class Column:
-    """One requested family (no qualifier) or column."""
+    """One requested family (no qualifier) or column; ``reader`` is a type to read its values as."""
 
     family: str
     qualifier: str | None = None
     max_versions: int = 1
     filter: Any = None
     page_size: int = 0
+    reader: str | None = None
 
     def __post_init__(self) -> None:
         if self.max_versions <= 0:
@@ -105,6 +106,8 @@ class DataRequest:
                 c = replace(c, qualifier=None)
             old = merged.get(c.name)
             if old is not None:
+                if old.reader != c.reader:
+                    raise RequestError(f"{c.name} is read as {old.reader} and as {c.reader}")
                 pages = [p for p in (old.page_size, c.page_size) if p]
                 c = replace(c, max_versions=max(old.max_versions, c.max_versions), page_size=min(pages, default=0))
             merged[c.name] = c

@@ -10,7 +10,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import shutil
+from dataclasses import replace
 from typing import Any
 from urllib.parse import urlparse
 
@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from wideframe.functions import schemas
-from wideframe.plans.layout import Layout, update
+from wideframe.operators import mutations
+from wideframe.plans.layout import Layout, check_write, update
 from wideframe.sources import tables
 
 
@@ -116,9 +117,32 @@ class Instance:
             self._write(f"tables/{wanted.name}/layouts/{len(history):06d}.json", json.loads(made.to_json()))
         return made
 
-    def save(self, table: str, cells: DataFrame, regions: int | None = None) -> None:
-        """Replaces a table's cells by a new version of its folder."""
+    def check(self, table: str, cells: DataFrame, schema: Any = None) -> Layout:
+        """Raises if cells to be written do not fit the layout; a policy that registers writers stores the next layout.
+
+        ``schema`` is the schema that all of them are written with (by default that of the value's type).
+        """
+        layout = made = self.layout(table)
+        schema = schema if schema is not None else schemas.of_type(dict(cells.dtypes)["value"])
+        known = F.lit(False)
+        for family in layout.families.values():
+            own = F.col("family") == family.name
+            known = known | (own if family.is_map else own & F.col("qualifier").isin(sorted(family.columns)))
+        wrong = cells.where(~known).select("family", "qualifier").limit(1).collect()
+        if wrong:
+            raise CatalogError(f"table {table!r} has no column {wrong[0]['family']}:{wrong[0]['qualifier']}")
+        if layout.policy != "NONE":
+            name = F.when(F.col("family").isin(sorted(f.name for f in layout.families.values() if f.is_map)), "").otherwise(F.col("qualifier"))
+            for r in cells.select("family", name.alias("qualifier")).distinct().collect():  # at most the declared columns and families
+                made = check_write(made, r["family"], r["qualifier"], schema)
+        if made != layout:
+            self._write(f"tables/{table}/layouts/{len(self.layouts(table)):06d}.json", json.loads(replace(made, layout_id=f"{layout.layout_id}+w", reference_id=layout.layout_id).to_json()))
+        return made
+
+    def save(self, table: str, cells: DataFrame, regions: int | None = None, now: int | None = None, per_second: int = 1000) -> None:
+        """Replaces a table's cells by a new version of its folder; with a clock, by what the layout retains of them."""
         layout = self.layout(table)
+        cells = cells if now is None else mutations.retain(cells, layout, now, per_second)
         number = len(self._list(f"tables/{table}/cells"))
         self._write(f"tables/{table}/schema.json", StructType([*cells.schema.fields, StructField("locality_group", StringType())]).jsonValue())
         tables.write(cells, f"{self.path}/tables/{table}/cells/{number:06d}", layout, regions)
@@ -260,15 +284,21 @@ def parse_uri(uri: str) -> dict[str, Any]:
     return {"scheme": made.scheme, "hosts": made.netloc.split(","), "instance": instance, "table": table, "columns": columns.split(",") if columns else []}
 
 
-def local_instance(spark: SparkSession, folder: str, fresh: bool = False) -> Instance:
-    """An installed instance in a local folder."""
-    if fresh:
-        shutil.rmtree(folder, ignore_errors=True)
-    made = Instance(spark, f"file://{folder}")
-    return made if made._exists("system.json") else made.install()
+def make_uri(scheme: str, hosts: list[str], instance: str | None = None, table: str | None = None, columns: list[str] | None = None) -> str:
+    """The address of such parts; each part needs the one before it."""
+    if (table and not instance) or (columns and not table):
+        raise ValueError("a table needs an instance, and columns need a table")
+    parts = [instance, table, ",".join(columns) if columns else None]
+    uri = f"{scheme}://{','.join(hosts)}" + "".join(f"/{p}" for p in parts if p)
+    parse_uri(uri)
+    return uri
+
+
+def resolve_uri(base: str, path: str) -> str:
+    """An address below another one: ``table/column,...`` of an instance, and so on."""
+    return make_uri(*(lambda d: (d["scheme"], d["hosts"], d["instance"], d["table"], d["columns"]))(parse_uri(f"{base.rstrip('/')}/{path.strip('/')}")))
 
 
-def newest_schema(cells: DataFrame, registry: DataFrame) -> DataFrame:
-    """Cells with their writers' schemas; the registry is a checked small dimension."""
-    small = registry.limit(100_001)
-    return cells.join(F.broadcast(small) if small.count() <= 100_000 else registry, "schema_id", "left")
+def with_schemas(cells: DataFrame, registry: DataFrame) -> DataFrame:
+    """Cells with their writers' schemas by ``schema_id``, null for unknown ones."""
+    return cells.join(registry, "schema_id", "left")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from wideframe.plans.layout import Layout
+from wideframe.plans.request import DataRequest
 
 
 def cells(rows: DataFrame, key: Column | str, family: Column | str, qualifier: Column | str, version: Column | str, value: Column | str, **components: Column | str) -> DataFrame:
@@ -25,12 +28,31 @@ def unpivot(rows: DataFrame, key: str, family: str, columns: list[str], version:
 
 
 def micros(column: str) -> Column:
-    """Microseconds since 1970 of a timestamp without zone, taken as UTC."""
+    """Microseconds since 1970 of a timestamp; one without zone is taken as UTC, whatever the session's zone."""
+    instant = F.unix_micros(F.col(column).cast("timestamp"))
+    return F.when(F.typeof(F.col(column)) == "timestamp", instant).otherwise(_civil_micros(column))
+
+
+def _civil_micros(column: str) -> Column:
     days = F.datediff(F.to_date(column), F.lit("1970-01-01")).cast("bigint")
     seconds = (F.hour(column) * 3600 + F.minute(column) * 60).cast("bigint")
     return days * 86_400_000_000 + seconds * 1_000_000 + (F.extract(F.lit("SECOND"), column) * 1_000_000).cast("bigint")
 
 
+def in_time(rows: DataFrame, column: str, request: DataRequest) -> DataFrame:
+    """Rows whose timestamp (without zone, taken as UTC) lies in a request's time range in microseconds.
+
+    The test is on the source's own column, so it reaches the scan.
+    """
+    epoch = datetime.datetime(1970, 1, 1)
+    out = rows
+    for bound, test in ((request.min_version, lambda c, t: c >= t), (request.max_version, lambda c, t: c < t)):
+        if 0 < bound < 2**63 - 1:
+            at = epoch + datetime.timedelta(microseconds=bound)
+            out = out.where(test(F.col(column), F.lit(at.isoformat(" ")).cast("timestamp_ntz")))
+    return out
+
+
 def write(table: DataFrame, path: str, layout: Layout | None = None, regions: int | None = None, mode: str = "overwrite") -> None:
     """Stores cells, one folder for each locality group, sorted by key within range partitions.
 

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from wideframe.operators.order import age
+
 
 def append(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Appends a stream of cells to a stored table.
@@ -26,5 +28,5 @@ def append(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None =
 
 
 def latest(stream: DataFrame) -> DataFrame:
-    """Running newest cell of each column (update or complete output)."""
-    return stream.groupBy("key", "family", "qualifier").agg(F.max_by("value", "version").alias("value"), F.max("version").alias("version"))
+    """Running newest cell of each column (update or complete output); later writes win by ``seq``."""
+    return stream.groupBy("key", "family", "qualifier").agg(F.max_by("value", age(stream.columns)).alias("value"), F.max("version").alias("version"))
