@@ -34,3 +34,27 @@ def test_synthetic_users_repeat(spark):
     one = synth.users(spark, 30, ["A", "B"], ["x.org"], seed=4)
     assert sorted(one.collect()) == sorted(synth.users(spark, 30, ["A", "B"], ["x.org"], seed=4).collect())
     assert one.count() == 60 and one.where("qualifier = 'email' and value not like '%.%@x.org'").count() == 0
+
+
+def test_layouts_are_set_and_further_commands_run(spark, tmp_path, monkeypatch):
+    import json
+
+    from wideframe.plans.layout import CellSchema, Family, Layout, LocalityGroup
+
+    def written(name, layout):
+        (tmp_path / name).write_text(layout.to_json())
+        return str(tmp_path / name)
+
+    def layout(columns, **more):
+        return Layout("t", groups={"g": LocalityGroup("g", {"f": Family("f", {c: CellSchema() for c in columns})})}, **more)
+
+    home = f"file://{tmp_path}/i"
+    cli.run(spark, [home, "install"])
+    cli.run(spark, [home, "create-table", written("a", layout("a"))])
+    wanted = written("b", layout("ab", reference_id="1"))
+    assert cli.run(spark, [home, "layout", "t", "--set", wanted, "--dry-run"]) == ["layout 2 (dry run)"]
+    assert cli.run(spark, [home, "layout", "t", "--set", wanted]) == ["layout 2"]
+    assert cli.run(spark, [home, "layout", "t", "--history"]) == ["1 after None", "2 after 1"]
+    assert set(json.loads("\n".join(cli.run(spark, [home, "layout", "t"])))["groups"]["g"]["families"]["f"]["columns"]) == {"a", "b"}
+    monkeypatch.setitem(cli.COMMANDS, "count", (lambda p: p.add_argument("table"), lambda spark, instance, args: [str(instance.cells(args.table).count())]))
+    assert cli.run(spark, [home, "count", "t"]) == ["0"]

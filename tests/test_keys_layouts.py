@@ -232,3 +232,21 @@ def test_writes_are_checked_and_retained(spark, tmp_path):
         home.check("t", cells.where("family = 'info'"), "long")
     home.save("t", cells, now=10)
     assert sorted(r["version"] for r in home.cells("t").collect()) == [1, 6]
+
+
+def test_hexadecimal_and_versions():
+    assert keys.hexed(b"\x00\xff\x1a", ":") == "00:ff:1a" and keys.unhexed("00:FF:1a", ":") == keys.unhexed("00ff1a") == b"\x00\xff\x1a" and keys.unhexed("") == b""
+    with pytest.raises(ValueError):
+        keys.unhexed("0g")
+    assert keys.protocol_version("layout-1.3") == ("layout", (1, 3, 0)) and keys.protocol_version("2") == ("", (2, 0, 0))
+    assert keys.protocol_version("layout-1.10.1")[1] > keys.protocol_version("layout-1.9")[1]
+    with pytest.raises(ValueError):
+        keys.protocol_version("layout-x")
+
+
+def test_only_the_version_before_stays(spark, tmp_path):
+    home = Instance(spark, f"file://{tmp_path}/v").install()
+    home.create(Layout("t", groups={"main": LocalityGroup("main", {"m": Family("m", map_schema=CellSchema())})}))
+    for i in range(4):
+        home.save("t", spark.createDataFrame([(1, "m", "q", i, "x")], "key bigint, family string, qualifier string, version bigint, value string"))
+    assert home._list("tables/t/cells") == ["000002", "000003"] and home.cells("t").first()["version"] == 3

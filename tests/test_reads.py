@@ -258,6 +258,8 @@ def test_aliases_retention_types_and_pages(spark):
     assert layout.group_of("i").name == "main"
     typed = compiler.read(cells, DataRequest((Column("i", "a", reader="bigint"),)), layout)
     assert dict(typed.dtypes)["value"] == "bigint" and typed.first()["value"] == 9700
+    own = compiler.read(cells, DataRequest((Column("i", "a", reader=lambda v: v.cast("bigint") + 1),)), layout)
+    assert own.first()["value"] == 9701
     with pytest.raises(RequestError):
         compiler.read(cells, DataRequest((Column("info", "a", reader="bigint"), Column("info", "b"))), layout)
     with pytest.raises(RequestError):

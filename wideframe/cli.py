@@ -1,5 +1,6 @@
 """Command line over an instance: ``python -m wideframe.cli INSTANCE COMMAND ...``.
 
+A write rewrites its table, so bulk writes are made with ``operators.mutations``.
 Keys are written as ``functions.keys.parse_key`` reads them; cells hold strings.
 """
 
@@ -8,6 +9,7 @@ from __future__ import annotations
 import argparse
 import json
 import time
+from collections.abc import Callable
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +21,9 @@ from wideframe.plans.layout import Layout
 from wideframe.plans.request import DataRequest, parse_column
 from wideframe.sources.catalog import Instance
 
+#: Further commands: name -> (adds arguments to a parser, runs on (spark, instance, arguments) and returns lines).
+COMMANDS: dict[str, tuple[Callable[[argparse.ArgumentParser], None], Callable[[SparkSession, Instance, argparse.Namespace], list[str]]]] = {}
+
 CELLS = "key binary, family string, qualifier string, version bigint, value string"
 
 
@@ -30,8 +35,15 @@ def _parser() -> argparse.ArgumentParser:
         commands.add_parser(name)
     create = commands.add_parser("create-table")
     create.add_argument("layout", help="file with the layout's JSON")
-    for name in ("delete-table", "layout"):
-        commands.add_parser(name).add_argument("table")
+    commands.add_parser("delete-table").add_argument("table")
+    own = commands.add_parser("layout")
+    own.add_argument("table")
+    own.add_argument("--history", action="store_true", help="all layouts, oldest first")
+    own.add_argument("--set", dest="wanted", help="file with the JSON of the next layout")
+    own.add_argument("--delete", nargs="*", default=[], help="what the next layout leaves out")
+    own.add_argument("--dry-run", action="store_true")
+    for name, (configure, _) in COMMANDS.items():
+        configure(commands.add_parser(name))
     for name in ("get", "scan", "put", "increment", "delete"):
         own = commands.add_parser(name)
         own.add_argument("table")
@@ -70,6 +82,8 @@ def run(spark: SparkSession, argv: list[str]) -> list[str]:
     if command == "uninstall":
         home.uninstall()
         return [f"removed {home.path}"]
+    if command in COMMANDS:
+        return COMMANDS[command][1](spark, home, args)
     if command == "ls":
         return home.tables()
     if command == "version":
@@ -90,6 +104,12 @@ def run(spark: SparkSession, argv: list[str]) -> list[str]:
     if command == "delete-table":
         home.drop(args.table)
         return [f"deleted {args.table}"]
+    if command == "layout" and args.history:
+        return [f"{x.layout_id} after {x.reference_id}" for x in home.layouts(args.table)]
+    if command == "layout" and args.wanted:
+        with open(args.wanted, encoding="utf-8") as f:
+            made = home.modify(Layout.from_json(f.read()), tuple(args.delete), dry_run=args.dry_run)
+        return [f"layout {made.layout_id}" + (" (dry run)" if args.dry_run else "")]
     if command == "layout":
         return json.dumps(json.loads(layout.to_json()), indent=2).split("\n")
     if command == "notes":

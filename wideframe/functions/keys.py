@@ -172,6 +172,27 @@ def split_table(cells: DataFrame, regions: int) -> DataFrame:
     return cells.repartitionByRange(regions, "key").sortWithinPartitions("key", "family", "qualifier", F.desc("version"))
 
 
+def hexed(data: bytes, delimiter: str = "") -> str:
+    """Two lower-case hexadecimal digits a byte."""
+    return delimiter.join(f"{b:02x}" for b in data)
+
+
+def unhexed(text: str, delimiter: str = "") -> bytes:
+    """The bytes of such digits."""
+    parts = text.split(delimiter) if delimiter and text else [text[i : i + 2] for i in range(0, len(text), 2)]
+    if any(not re.fullmatch("[0-9a-fA-F]{2}", p) for p in parts):
+        raise ValueError(f"no hexadecimal bytes: {text!r}")
+    return bytes.fromhex("".join(parts))
+
+
+def protocol_version(text: str) -> tuple[str, tuple[int, int, int]]:
+    """Name and numbers of a version such as ``layout-1.3``, to be compared as tuples; missing numbers are 0."""
+    m = re.fullmatch(r"(?:([a-zA-Z][a-zA-Z0-9_-]*)-)?(\d+)(?:\.(\d+))?(?:\.(\d+))?", text.strip())
+    if m is None:
+        raise ValueError(f"no protocol version: {text!r}")
+    return m[1] or "", (int(m[2]), int(m[3] or 0), int(m[4] or 0))
+
+
 def varint(value: int) -> bytes:
     """Zig-zag variable-length bytes of a signed 64-bit integer."""
     value = ((value << 1) ^ (value >> 63)) & (2**64 - 1)

@@ -150,7 +150,9 @@ def _typed(rows: DataFrame, request: DataRequest) -> DataFrame:
     if len(readers) > 1:
         raise RequestError(f"columns of one read have one type: {sorted(map(str, readers))}")
     reader = readers.pop()
-    return rows if reader is None else rows.withColumn("value", F.col("value").cast(reader))
+    if reader is None:
+        return rows
+    return rows.withColumn("value", reader(F.col("value")) if callable(reader) else F.col("value").cast(reader))
 
 
 def get(cells: DataFrame, key: Any, request: DataRequest, layout: Layout | None = None) -> DataFrame:

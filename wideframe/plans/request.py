@@ -7,9 +7,12 @@ and one time range ``[min_version, max_version)`` for all of them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from typing import Any
 
+from pyspark.sql import Column as SparkColumn
+
 #: Upper end of a time range that excludes nothing.
 END_OF_TIME = 2**63 - 1
 #: A version limit that keeps everything.
@@ -30,14 +33,14 @@ def parse_column(name: str) -> tuple[str, str | None]:
 
 @dataclass(frozen=True)
 class Column:
-    """One requested family (no qualifier) or column; ``reader`` is a type to read its values as."""
+    """One requested family (no qualifier) or column; ``reader`` is a type to read its values as, or a function of the value's column that decodes it."""
 
     family: str
     qualifier: str | None = None
     max_versions: int = 1
     filter: Any = None
     page_size: int = 0
-    reader: str | None = None
+    reader: str | Callable[[SparkColumn], SparkColumn] | None = None
 
     def __post_init__(self) -> None:
         if self.max_versions <= 0:

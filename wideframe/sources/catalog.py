@@ -140,12 +140,18 @@ class Instance:
         return made
 
     def save(self, table: str, cells: DataFrame, regions: int | None = None, now: int | None = None, per_second: int = 1000) -> None:
-        """Replaces a table's cells by a new version of its folder; with a clock, by what the layout retains of them."""
+        """Replaces a table's cells by a new version of its folder; with a clock, by what the layout retains of them.
+
+        The version before stays, as plans may still read it; older ones are deleted.
+        """
         layout = self.layout(table)
         cells = cells if now is None else mutations.retain(cells, layout, now, per_second)
-        number = len(self._list(f"tables/{table}/cells"))
+        found = self._list(f"tables/{table}/cells")
+        number = int(found[-1]) + 1 if found else 0
         self._write(f"tables/{table}/schema.json", StructType([*cells.schema.fields, StructField("locality_group", StringType())]).jsonValue())
         tables.write(cells, f"{self.path}/tables/{table}/cells/{number:06d}", layout, regions)
+        for old in found[:-1]:
+            self._delete(f"tables/{table}/cells/{old}")
 
     def cells(self, table: str, families: list[str] | None = None) -> DataFrame:
         """A table's cells; with families, only their locality groups are listed."""
