@@ -1,6 +1,7 @@
 """Operators 2, 8 and 9: against the libraries, round trips, awkward rows."""
 
 import hashlib
+import json
 import random
 import zlib
 
@@ -225,6 +226,12 @@ def test_op8_edges(spark, awkward, nothing):
 def test_op9_cuts_only_known_tokenizers(monkeypatch):
     definition = open(tokenio.TOKENIZER, encoding="utf-8").read()
     assert tokenio.may_cut(definition)
+    changed = json.loads(definition)
+    changed["normalizer"]["normalizers"].remove({"type": "Lowercase"})
+    assert not tokenio.may_cut(json.dumps(changed))
+    changed = json.loads(definition)
+    changed["pre_tokenizer"]["pretokenizers"].pop()
+    assert not tokenio.may_cut(json.dumps(changed))
     other = open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read()
     assert not tokenio.may_cut(other)
     library = Tokenizer.from_str(other)

@@ -21,10 +21,11 @@ are then recoded and dealt into the ranges, which are sorted within; each
 range's first position is known, so no task sees more than its own range.  What
 reaches the driver is bounded by the vocabulary and the number of ranges.
 
-Encoding cuts text at spaces and line feeds and between an ASCII letter and a
-full stop or comma, if the tokenizer's own normaliser and splitter are known never to
-join over these places (``may_cut``), and keeps the ids of pieces in two bounded
-generations; only new pieces go through the library.  Any other tokenizer gets whole texts.
+Encoding cuts text at spaces and line feeds, if the tokenizer's own normaliser and
+splitter are known never to join over them (``may_cut``), and keeps the ids of pieces
+in two bounded generations.  Only new pieces go through the library: a word of plain
+letters straight to its model, marks after it by themselves, all else through
+normaliser and splitter too.  Any other tokenizer gets whole texts.
 
 Edge cases: a null text is empty and gives the end id alone; documents with a
 null id come first; equal ids are ordered by length, then by coded bytes; an
@@ -61,8 +62,6 @@ LONG_PIECE = 256
 #: Text bytes a worker encodes at once.
 GROUP_BYTES = 4 << 20
 
-#: Between a letter and a full stop or comma, which the tokenizer always parts.
-_MARK = re.compile(r"(?<=[A-Za-z])(?=[.,])")
 _LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.int64) + 1
 _MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 
@@ -100,17 +99,54 @@ _NORMALIZERS = ({"type": "NFC"}, {"type": "Lowercase"}, {"type": "Replace", "pat
 
 
 def may_cut(definition: str) -> bool:
-    """Whether texts of a tokenizer can be cut into pieces that are encoded by themselves."""
+    """Whether texts of a tokenizer can be cut into pieces, and words of plain letters given to its model in bytes."""
     d = json.loads(definition)
     normal, split = d.get("normalizer") or {}, d.get("pre_tokenizer") or {}
     steps = split.get("pretokenizers", [split]) if split else []
     first = steps[0] if steps else {}
-    known = all(n in _NORMALIZERS for n in (normal.get("normalizers", [normal]) if normal else []))
+    normal = normal.get("normalizers", [normal])
+    known = all(n in _NORMALIZERS for n in normal) and {"type": "Lowercase"} in normal
     parted = first.get("type") == "Split" and first.get("pattern") == {"Regex": _PATTERN} and first.get("behavior") == "Removed" and first.get("invert") is True
-    plain = all(s.get("type") == "ByteLevel" and not s.get("add_prefix_space") and not s.get("use_regex") for s in steps[1:])
+    plain = len(steps) == 2 and steps[1].get("type") == "ByteLevel" and not steps[1].get("add_prefix_space") and not steps[1].get("use_regex")
     return known and parted and plain and all(t.get("special") for t in d.get("added_tokens", [])) and not d.get("truncation") and not d.get("padding")
 
 
+#: Letters that have one lower-case letter each and no other composed form.
+_LETTERS = "".join(c for c in map(chr, range(0x130)) if c.isalpha())
+#: A word, then marks that no pattern of the splitter joins to it.
+_WORD = re.compile(f"([{_LETTERS}]+)([!-&(-/:-@\\[-`{{-~]*)")
+#: Bytes that a byte-level vocabulary writes as the same character; the others are written from U+0100 on.
+_PLAIN = (*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100))
+_OTHERS = [b for b in range(0x100) if b not in _PLAIN]
+_BYTE_CHARS = [chr(b if b in _PLAIN else 0x100 + _OTHERS.index(b)) for b in range(0x100)]
+#: Letters as the model sees them: lower case, a character a byte.
+_MODEL_CHARS = {ord(c): "".join(_BYTE_CHARS[b] for b in c.lower().encode()) for c in _LETTERS}
+
+
+class _Pieces(dict):
+    """Ids of pieces, made when first asked for or taken from the generation before."""
+
+    def __init__(self, library, old: dict[str, bytes]):
+        super().__init__({"": b""})
+        self.library, self.model, self.old = library, library.model.tokenize, old
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.made(piece)
+        if len(piece) <= LONG_PIECE:
+            self[piece] = ids
+        return ids
+
+    def made(self, piece: str) -> bytes:
+        parts = _WORD.fullmatch(piece)
+        if parts is None:
+            return array("I", self.library.encode(piece, add_special_tokens=False).ids).tobytes()
+        if parts[2]:
+            return self[parts[1]] + self[parts[2]]
+        return array("I", [token.id for token in self.model(piece.translate(_MODEL_CHARS))]).tobytes()
+
+
 class PieceEncoder:
     """Ids of texts by the tokenizers library, with a bounded cache of pieces."""
 
@@ -122,30 +158,19 @@ class PieceEncoder:
         self.library.encode_special_tokens = True
         self.cuts = may_cut(definition)
         self.end = np.array([end_id], "<u4").tobytes()
-        self.cache: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
+        self.pieces = _Pieces(self.library, {})
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text, with the end id."""
         if not self.cuts:
             return [array("I", self.library.encode(t or "", add_special_tokens=False).ids).tobytes() + self.end for t in texts]
-        split = [_MARK.sub(" ", (t or "").replace("\n", " ")).split(" ") for t in texts]
-        if len(self.cache) > CACHE_PIECES:
-            self.cache, self.old = {"": b""}, self.cache
-        pieces = []
-        for piece in set().union(*split).difference(self.cache):
-            ids = self.old.get(piece)
-            if ids is None:
-                pieces.append(piece)
-            else:
-                self.cache[piece] = ids
-        for piece, made in zip(pieces, self.library.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
-            self.cache[piece] = array("I", made.ids).tobytes()
-        get = self.cache.__getitem__
-        out = [b"".join(map(get, p)) + self.end for p in split]
-        for piece in pieces:
-            if len(piece) > LONG_PIECE:
-                del self.cache[piece]
+        if len(self.pieces) > CACHE_PIECES:
+            self.pieces.old = {}
+            self.pieces = _Pieces(self.library, self.pieces)
+        get, out = self.pieces.__getitem__, []
+        for t in texts:
+            lower = t.lower() if t and t.isascii() else t or ""
+            out.append(b"".join(map(get, lower.replace("\n", " ").split(" "))) + self.end)
         return out
 
 
