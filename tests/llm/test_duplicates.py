@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from wideframe.llm import dartminhash, decontam, imatch
 from wideframe.llm._text import text_buffer, word_bounds, words
@@ -295,6 +296,15 @@ def test_op1_edited_texts(spark, awkward, nothing):
     assert imatch.near_edits(nothing, imatch.lexicon(nothing)).count() == 0
 
 
+def test_op1_deals_one_id_to_many_ranges(spark):
+    rows = [(5 if i % 3 else i, f"text number {i} " * (1 + i % 5)) for i in range(1500)] + [(5, "the same text")] * 20
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    known = [r["text"] for r in docs.orderBy(F.desc("doc_id"), F.desc(F.xxhash64("text")), "text").collect()]
+    edited = [t[: len(t) - len(t) // 3] + known[(i + 1) % len(known)][: len(t) // 3] for i, t in enumerate(known)]
+    found = imatch.near_edits(docs, imatch.lexicon(docs)).select("edited_sha256").collect()
+    assert sorted(r[0] for r in found) == sorted(hashlib.sha256(e.encode()).hexdigest() for e in edited)
+
+
 def test_op1_query_tells_edits_from_strangers(spark, data):
     rows = imatch.op1_imatch(spark, data).collect()
     assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in rows)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from wideframe.llm import bpe, tokencounts, tokenio
+from wideframe.llm._text import key_ranges
 
 from awkward_rows import TEXTS
 
@@ -159,6 +160,21 @@ def test_op9_order_and_edges(spark, awkward, nothing, tmp_path):
     assert tokenio.read_token_files(spark, f"file://{tmp_path}/none").count() == 0
 
 
+def test_op9_deals_one_id_to_many_ranges(spark, tmp_path):
+    rows = [(5 if i % 3 == 0 else None if i % 3 == 1 else i, f"text {i}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("hash", F.xxhash64("text"))
+    sizes = docs.groupBy(key_ranges(docs, "doc_id", 30, "hash")).count().collect()
+    assert len(sizes) >= 28 and max(r["count"] for r in sizes) < 250
+    path = f"file://{tmp_path}/ids"
+    tokenio.write_token_files(docs, path, block_ids=500)
+    found = sorted(tokenio.read_token_files(spark, path).collect(), key=lambda r: r["start"])
+    order = [tuple(r) for r in docs.orderBy(F.asc_nulls_first("doc_id"), "hash").select("doc_id", "text").collect()]
+    at = 0
+    for r, (doc, _), ids in zip(found, order, expected_files([t for _, t in order]), strict=True):
+        assert (r["start"], r["doc_id"], np.array(r["ids"], "<u4").tobytes()) == (at, doc, ids)
+        at += r["n_tokens"]
+
+
 def test_op9_query(spark, data):
     found = {r["doc_id"]: r for r in tokenio.op9_token_files(spark, data).collect()}
     docs = sorted(spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect())

@@ -192,19 +192,28 @@ def drop_tables(spark: SparkSession, *paths: str) -> None:
 SQL_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
 
-def key_ranges(df: DataFrame, key: str, parts: int) -> tuple[list[int], Column]:
-    """At most ``parts`` ranges of a long key with about equal row counts.
+def key_ranges(df: DataFrame, key: str, parts: int, tie: str) -> Column:
+    """Number of the range of each row in the order of a long key, then of the long ``tie``, a hash.
 
-    Returns the ascending lower bounds of ranges 1.. and the range number of
-    ``key`` (null keys: range 0).  Only the bounds reach the driver.
+    About ``parts`` ranges with about equal row counts; a key that fills several ranges
+    is dealt to them by ``tie``.  Null keys have ranges of their own before all
+    others, as many as their rows fill.  Only the bounds and two counts reach the driver.
     """
     if parts < 2:
-        return [], F.lit(0)
+        return F.lit(0)
     shares = [i / parts for i in range(1, parts)]
-    row = df.select(F.percentile_approx(F.col(key), shares, 10_000).alias("q")).first()
-    bounds = sorted(set(row["q"] or []))
-    if not bounds:
-        return [], F.lit(0)
-    array = F.lit(bounds)
-    number = F.coalesce(F.size(F.filter(array, lambda b: b <= F.col(key))), F.lit(0))
-    return bounds, F.when(F.col(key).isNull(), 0).otherwise(number)
+    row = df.select(F.percentile_approx(F.col(key), shares, 10_000).alias("q"), F.count(key).alias("n"), F.count(F.lit(1)).alias("total")).first()
+
+    def of(n: Column) -> Column:
+        """Which of n equal parts of all hashes."""
+        return F.least(F.floor((F.col(tie) / 2.0**64 + 0.5) * n), n - 1)
+
+    nulls = F.lit(1 + (row["total"] - row["n"]) * parts // max(row["total"], 1))
+    bounds, number = row["q"] or [], F.lit(0)
+    if bounds:
+        array = F.lit(bounds)
+        number = F.size(F.filter(array, lambda b: b <= F.col(key)))
+        if len(set(bounds)) < len(bounds):
+            own = F.greatest(F.lit(1), F.size(F.filter(array, lambda b: b == F.col(key))))
+            number = number - own + 1 + of(own)
+    return F.when(F.col(key).isNull(), of(nulls) - nulls).otherwise(number).cast("int")

@@ -24,7 +24,8 @@ so text is shuffled once and sorted within its range.
 Edge cases: a null text is empty; an empty text has the fingerprint of no terms.
 The whole hash of a text without any lexicon term is of all its terms, its subsets are
 empty: it is like equal texts only.  Of equal
-ids the order is by text.  A table's only document is its own next one.  A document with a null id has no next
+ids the order is by a hash of the text, descending, then by text; an id of many rows is dealt by
+that hash into several ranges (copies of one text under one id stay together).  A table's only document is its own next one.  A document with a null id has no next
 document: nothing replaces what is cut, and near_next is 0.  Only the named columns are read.
 """
 
@@ -37,7 +38,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ._text import key_ranges, map_batches, mix64, row_groups, text_buffer, word_bounds, words
 
@@ -210,19 +210,16 @@ def near_edits(docs: DataFrame, bits: np.ndarray, text: str = "text", doc_id: st
     """Fingerprints of every document and of its edited text, and their likeness."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    own = docs.select(F.coalesce(text, F.lit("")).alias("text"), F.col(doc_id).cast("long").alias("doc_id"))
-    _, number = key_ranges(own, "doc_id", 4 * parts)
-    placed = own.where("doc_id is not null").withColumn("number", number)
-    # the first document (by doc_id descending, then text) of each range goes to the range above it too;
+    own = docs.select(F.coalesce(text, F.lit("")).alias("text"), F.col(doc_id).cast("long").alias("doc_id")).withColumn("hash", F.xxhash64("text"))
+    placed = own.where("doc_id is not null").withColumn("number", key_ranges(own, "doc_id", 4 * parts, "hash"))
+    # the first document (by doc_id and hash descending, then text) of each range goes to the range above it too;
     # one row for each range, so what is collected is bounded by the number of ranges
-    first = placed.groupBy("number").agg(F.max("doc_id").alias("doc_id")).orderBy(F.desc("number")).collect()
-    goes_to = {r["doc_id"]: first[i - 1]["number"] for i, r in enumerate(first)}
-    copies = spark.createDataFrame(list(goes_to.items()), "doc_id long, number int")
-    heads = placed.drop("number").join(F.broadcast(copies), "doc_id")
-    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    heads = heads.withColumn("turn", turn).where("turn = 1").select("text", "number", "doc_id", F.lit(True).alias("copy"))
-    dealt = placed.select("text", "number", "doc_id", F.lit(False).alias("copy")).union(heads).repartition(parts, "number")
-    dealt = dealt.sortWithinPartitions("number", "copy", F.desc("doc_id"), "text")
+    first = placed.groupBy("number").agg(F.max(F.struct("doc_id", "hash")).alias("x")).orderBy(F.desc("number")).collect()
+    copies = [(*r["x"], r["number"], first[i - 1]["number"]) for i, r in enumerate(first)]
+    heads = placed.join(F.broadcast(spark.createDataFrame(copies, "doc_id long, hash long, number int, above int")), ["doc_id", "hash", "number"])
+    heads = heads.groupBy("doc_id", "hash", "above").agg(F.min("text").alias("text")).select("text", F.col("above").alias("number"), "doc_id", "hash", F.lit(True).alias("copy"))
+    dealt = placed.select("text", "number", "doc_id", "hash", F.lit(False).alias("copy")).union(heads).repartition(parts, "number")
+    dealt = dealt.sortWithinPartitions("number", "copy", F.desc("doc_id"), F.desc("hash"), "text").drop("hash")
     lone = own.where("doc_id is null").select("text", F.lit(None).cast("int").alias("number"), "doc_id", F.lit(False).alias("copy"))
     schema = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     shared = spark.sparkContext.broadcast(bits)

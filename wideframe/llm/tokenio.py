@@ -28,8 +28,10 @@ letters straight to its model, marks after it by themselves, all else through
 normaliser and splitter too.  Any other tokenizer gets whole texts.
 
 Edge cases: a null text is empty and gives the end id alone; documents with a
-null id come first; equal ids are ordered by length, then by coded bytes; an
-empty table writes a folder without blocks.  Other columns are not read.
+null id come first; equal ids are ordered by a hash of their text, then by length and
+coded bytes; an id of many rows is dealt by that hash into several ranges (copies of one
+text under one id stay together).  An empty table writes a folder without blocks.
+Other columns are not read.
 """
 
 from __future__ import annotations
@@ -204,34 +206,35 @@ def _encode_blocks(shared, end_id: int) -> Callable[[Iterator[pa.RecordBatch]],
                     [
                         list_array(batch.column(2), one),
                         list_array(batch.column(1), one),
+                        list_array(batch.column(3), one),
                         list_array(pa.array([len(m) // 4 for m in made], pa.int64()), one),
                         list_array(pa.array(used.astype(np.int32), pa.int32()), np.array([len(used)])),
                         list_array(pa.array(counts[used], pa.int64()), np.array([len(used)])),
                         pa.array([control], pa.binary()),
                         pa.array([data], pa.binary()),
                     ],
-                    names=["doc_ids", "shards", "lengths", "ids", "counts", "control", "data"],
+                    names=["doc_ids", "shards", "hashes", "lengths", "ids", "counts", "control", "data"],
                 )
 
     return run
 
 
-_RAW = "doc_ids array<bigint>, shards array<int>, lengths array<bigint>, ids array<int>, counts array<bigint>, control binary, data binary"
+_RAW = "doc_ids array<bigint>, shards array<int>, hashes array<bigint>, lengths array<bigint>, ids array<int>, counts array<bigint>, control binary, data binary"
 
 
 def _recode(to_rank) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(doc_id, shard, n, control, data) of each document of such groups, by the corpus's ranks."""
+    """(doc_id, shard, hash, n, control, data) of each document of such groups, by the corpus's ranks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = to_rank.value
         for batch in batches:
-            for docs, shards, lengths, ids, control, data in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            for docs, shards, hashes, lengths, ids, control, data in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
                 n = np.array(lengths, np.int64)
                 ranks = table[np.array(ids)][decode_ranks(control, data, int(n.sum()))]
                 coded = [encode_ranks(r) for r in np.split(ranks, np.cumsum(n)[:-1])]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(docs, pa.int64()), pa.array(shards, pa.int32()), pa.array(n, pa.int64()), pa.array([c for c, _ in coded], pa.binary()), pa.array([d for _, d in coded], pa.binary())],
-                    names=["doc_id", "shard", "n", "control", "data"],
+                    [pa.array(docs, pa.int64()), pa.array(shards, pa.int32()), pa.array(hashes, pa.int64()), pa.array(n, pa.int64()), pa.array([c for c, _ in coded], pa.binary()), pa.array([d for _, d in coded], pa.binary())],
+                    names=["doc_id", "shard", "hash", "n", "control", "data"],
                 )
 
     return run
@@ -283,9 +286,8 @@ def write_token_files(docs: DataFrame, path: str, text: str = "text", doc_id: st
     with open(tokenizer, encoding="utf-8") as f:
         shared = spark.sparkContext.broadcast(f.read())
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    own = docs.select(F.col(text).alias("text"), F.col(doc_id).cast("long").alias("doc_id"))
-    _, number = key_ranges(own, "doc_id", 4 * parts)
-    own = own.select("text", number.cast("int").alias("shard"), "doc_id")
+    own = docs.select(F.col(text).alias("text"), F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"))
+    own = own.select("text", key_ranges(own, "doc_id", 4 * parts, "hash").alias("shard"), "doc_id", "hash")
     encoded = fresh_path(spark, "encoded")
     map_batches(own, _encode_blocks(shared, end_id), _RAW).write.parquet(encoded)
     raw = spark.read.schema(_RAW).parquet(encoded)
@@ -298,9 +300,9 @@ def write_token_files(docs: DataFrame, path: str, text: str = "text", doc_id: st
     for r in sorted(totals, key=lambda r: r["shards"]):
         first[r["shards"]] = total
         total += r["n"]
-    coded = map_batches(raw.select("doc_ids", "shards", "lengths", "ids", "control", "data"), _recode(spark.sparkContext.broadcast(to_rank)), "doc_id bigint, shard int, n bigint, control binary, data binary")
-    ordered = coded.repartition(parts, "shard").sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "n", "control", "data")
-    map_batches(ordered, _packer(first, block_ids), _BLOCKS).write.parquet(path)
+    coded = map_batches(raw.select("doc_ids", "shards", "hashes", "lengths", "ids", "control", "data"), _recode(spark.sparkContext.broadcast(to_rank)), "doc_id bigint, shard int, hash bigint, n bigint, control binary, data binary")
+    ordered = coded.repartition(parts, "shard").sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "hash", "n", "control", "data")
+    map_batches(ordered.drop("hash"), _packer(first, block_ids), _BLOCKS).write.parquet(path)
     spark.createDataFrame([(i, int(k)) for i, k in enumerate(ids)], "rank int, id int").coalesce(1).write.parquet(f"{path}.ranks")
     return path
 
